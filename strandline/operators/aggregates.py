@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.operators.hot import hot_groups
@@ -40,10 +42,14 @@ def exact_percentile(
     return found.select(*keys, *out)
 
 
-def blocks(df: DataFrame, spread: list[str], count: int, name: str = "block") -> DataFrame:
-    """Deal rows to ``count`` blocks by a hash of ``spread``, to bound what a grouped UDF is handed.
+def blocks(
+    df: DataFrame, spread: list[str], rows_per_block: int = 500_000, name: str = "block"
+) -> DataFrame:
+    """Deal rows to blocks by a hash of ``spread``, to bound what a grouped UDF is handed.
 
-    A UDF that sees one block of a group at a time gives partial results; adding those up is left to
-    a built-in aggregate.
+    A group of a grouped UDF is held in a Python worker whole. Grouped by key and block it has about
+    ``rows_per_block`` rows at most, whatever share of the table the key has, and gives partial
+    results; adding those up is left to a built-in aggregate.
     """
+    count = max(1, math.ceil(df.count() / rows_per_block))
     return df.withColumn(name, F.pmod(F.xxhash64(*spread), F.lit(count)).cast("int"))

@@ -1 +1,74 @@
-"""To come."""
+"""User-defined scalar, aggregate, grouped and table functions."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from strandline.functions import udfs
+from strandline.operators.aggregates import blocks
+from strandline.plans.registry import query
+from strandline.sources import table
+
+
+@query("SELECT p_partkey, p_retailprice / p_size AS price_per_size FROM part")
+def scalar_udf(spark: SparkSession, sf: str) -> DataFrame:
+    price = udfs.price_per_size("p_retailprice", "p_size").alias("price_per_size")
+    return table(spark, sf, "part").select("p_partkey", price)
+
+
+@query(
+    """SELECT o_orderpriority, round(regr_slope(o_totalprice,
+        date_diff('day', TIMESTAMP '1995-01-01', o_orderdate)), 5) AS slope, count(*) AS n
+    FROM orders GROUP BY o_orderpriority"""
+)
+def grouped_map_udf(spark: SparkSession, sf: str) -> DataFrame:
+    """Price trend per priority. Python sees bounded blocks of a group; Spark adds up their sums."""
+    days = F.datediff("o_orderdate", F.lit("1995-01-01").cast("date"))
+    orders = table(spark, sf, "orders").select(
+        "o_orderpriority", "o_orderkey", days.alias("x"), F.col("o_totalprice").alias("y")
+    )
+
+    def sums(block: pd.DataFrame) -> pd.DataFrame:
+        priority = block["o_orderpriority"].iloc[0]
+        return pd.DataFrame([{"o_orderpriority": priority, **udfs.moments(block)}])
+
+    parts = (
+        blocks(orders, ["o_orderkey"])
+        .groupBy("o_orderpriority", "block")
+        .applyInPandas(sums, f"o_orderpriority string, {udfs.MOMENTS}")
+        .groupBy("o_orderpriority")
+        .agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")))
+    )
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    slope = (n * F.col("sxy") - sx * sy) / (n * F.col("sxx") - sx * sx)
+    return parts.select("o_orderpriority", F.round(slope, 5).alias("slope"), "n")
+
+
+@query(
+    """SELECT l_returnflag, round(exp(avg(ln(l_extendedprice))), 4) AS geometric_mean
+    FROM lineitem GROUP BY l_returnflag"""
+)
+def aggregate_udf(spark: SparkSession, sf: str) -> DataFrame:
+    """Geometric mean. The user aggregate runs per block of a group and the blocks are weighed."""
+    line = table(spark, sf, "lineitem").select(
+        "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
+    )
+    spread = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    dealt = blocks(line, spread).select("l_returnflag", "block", "l_extendedprice")
+    groups = dealt.groupBy("l_returnflag", "block")
+    logs = groups.agg(
+        udfs.mean_log("l_extendedprice").alias("mean_log"), udfs.rows("l_extendedprice").alias("n")
+    )
+    mean = F.sum(F.col("mean_log") * F.col("n")) / F.sum("n")
+    return logs.groupBy("l_returnflag").agg(F.round(F.exp(mean), 4).alias("geometric_mean"))
+
+
+@query(
+    """SELECT doc_id, CAST(generate_subscripts(w, 1) AS INTEGER) AS line_number, unnest(w) AS line
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents)"""
+)
+def table_udf(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as one row per line."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return documents.lateralJoin(udfs.Lines(F.col("text").outer())).drop("text")
