@@ -6,8 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.operators.hot import hot_groups
-from strandline.operators.scan import Wanted, scan
+from strandline.operators.scan import Wanted, find_split, scan
 
 
 def exact_percentile(
@@ -21,7 +20,7 @@ def exact_percentile(
     rows = df.where(F.col(column).isNotNull())
     counted = rows.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__n"))
     wanted = Wanted(sums={"__upto": F.col("__n")}, totals={"__of": F.col("__n")})
-    placed = scan(counted, keys, [column], wanted, hot_groups(rows, keys))
+    placed = scan(counted, keys, [column], wanted, find_split(rows, keys, [column]))
     value = F.col(column).cast("double")
 
     def at(place):

@@ -35,14 +35,17 @@ def hot_groups(df: DataFrame, keys: list[str]) -> DataFrame | None:
 
     Fewer groups than there are shuffle partitions can be that large, so the answer may be held by
     the driver and broadcast whatever the size of the data. Each row has the group as ``__group``
-    and its size as ``rows``. Only the key columns are scanned, and counted before the shuffle.
+    and, as ``pieces``, how many average partitions it fills; the pieces of all groups together are
+    at most twice the shuffle partitions. Only the key columns are scanned, and counted before the
+    shuffle.
     """
     total = df.count()
     floor = max(hot_rows(df), math.ceil(total / shuffle_partitions(df)))
     if total <= floor:
         return None
     sizes = df.groupBy(group_of(keys).alias(GROUP)).agg(F.count(F.lit(1)).alias("rows"))
-    largest = sizes.where(F.col("rows") > F.lit(floor))
+    pieces = F.ceil(F.col("rows") / floor).cast("int").alias("pieces")
+    largest = sizes.where(F.col("rows") > F.lit(floor)).select(GROUP, pieces)
     found = largest.collect()
     if not found:
         return None

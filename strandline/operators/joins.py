@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandline.operators.hot import GROUP, group_of, hot_groups, shuffle_partitions
+from strandline.operators.hot import GROUP, group_of, hot_groups
 from strandline.operators.scan import Wanted, ntz_micros, scan
 
 
@@ -13,31 +13,31 @@ def salted_join(
 ) -> DataFrame:
     """Inner, left, semi or anti join whose ``left`` side may have hot keys.
 
-    Left rows with a hot key are dealt over as many salts as there are shuffle partitions, by a hash
-    of the ``spread`` columns (all columns unless named), and right rows with such a key are copied
-    to each salt. Other rows keep salt 0 and are not copied. The hash is worked out from the row, so
-    a task that is run again deals its rows the same way.
+    Left rows with a hot key are dealt over as many salts as average partitions the key fills, by a
+    hash of the ``spread`` columns (all columns unless named), and right rows with such a key are
+    copied to each of its salts. Other rows keep salt 0 and are not copied. The hash is worked out
+    from the row, so a task that is run again deals its rows the same way.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting the left side cannot serve a {how} join")
     hot = hot_groups(left, on)
     if hot is None:
         return left.join(right, on, how)
-    salts = shuffle_partitions(left)
-    keys = F.broadcast(hot.select(F.col(GROUP).alias("__key"), F.lit(True).alias("__hot")))
-    dealt = F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(salts)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    keys = F.broadcast(hot.select(F.col(GROUP).alias("__key"), "pieces"))
+    pieces = F.col("pieces")
+    dealt = F.pmod(F.xxhash64(*(spread or left.columns)), pieces.cast("bigint")).cast("int")
+    salts = F.when(pieces.isNotNull(), F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.lit(0)))
     left = (
         left.withColumn("__key", group_of(on))
         .join(keys, "__key", "left")
-        .withColumn("__salt", F.when(F.col("__hot"), dealt).otherwise(0))
-        .drop("__hot", "__key")
+        .withColumn("__salt", F.coalesce(dealt, F.lit(0)))
+        .drop("pieces", "__key")
     )
     right = (
         right.withColumn("__key", group_of(on))
         .join(keys, "__key", "left")
-        .withColumn("__salt", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0)))))
-        .drop("__hot", "__key")
+        .withColumn("__salt", F.explode(salts))
+        .drop("pieces", "__key")
     )
     return left.join(right, [*on, "__salt"], how).drop("__salt")
 
@@ -102,10 +102,8 @@ def asof_join(
             row.alias("__row"),
         )
     )
-    both_keys = left.select(*keys).unionAll(right.select(*keys))
     wanted = Wanted(lasts={"__latest": F.col("__value")})
-    order = ["__time", "__side", "__id"]
-    carried = scan(stacked, keys, order, wanted, hot_groups(both_keys, keys))
+    carried = scan(stacked, keys, ["__time", "__side", "__id"], wanted)
     rows = carried.where(F.col("__side") == 1)
     return rows.select(
         *(F.col("__row")[c].alias(c) for c in left.columns),
@@ -150,11 +148,8 @@ def interval_totals(
         "__id",
         *(zero[n].alias(n) for n in names),
     )
-    both_keys = left.select(*keys).unionAll(right.select(*keys))
     wanted = Wanted(sums={f"__{n}": F.coalesce(F.col(n), zero[n]) for n in names})
-    totals = scan(
-        rows.unionAll(probes), keys, ["__at", "__side"], wanted, hot_groups(both_keys, keys)
-    )
+    totals = scan(rows.unionAll(probes), keys, ["__at", "__side"], wanted)
     sign = F.when(F.col("__side") == 2, F.lit(1)).otherwise(F.lit(-1))
     return (
         totals.where(F.col("__side") != 1)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from strandline.operators.hot import GROUP, group_of, hot_groups, shuffle_partitions
 
 SEGMENT = "__segment"
+HOT = "__hot"
 QUANTILES = 64
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
@@ -45,24 +46,68 @@ class Wanted:
         return [name for kind in kinds for name in kind]
 
 
+@dataclass(frozen=True)
+class Cuts:
+    """Cut points of the first order column and the range of the second.
+
+    ``steps`` is the number of further cuts between two points. ``tie_steps`` is that among the rows
+    equal to each point, then among those that are not a number and those that are null, in
+    proportion to how many they are.
+    """
+
+    points: list
+    tie_low: object
+    tie_high: object
+    steps: int
+    tie_steps: list[int]
+
+
+@dataclass(frozen=True)
+class Split:
+    """The hot groups of a table and where they are cut along the order."""
+
+    hot: DataFrame | None
+    cuts: Cuts | None
+
+
+def find_split(df: DataFrame, keys: list[str], order: list[str]) -> Split | None:
+    """How to split ``df`` for a scan with these keys and this order; None where no group is hot.
+
+    Reads the key and order columns of ``df`` only. A split may be used for any table with the same
+    keys and order columns, so it can be found in a plain table and used for what is derived from it.
+    """
+    hot = hot_groups(df, keys)
+    if hot is None:
+        return None
+    if not keys:
+        return Split(None, _cut_points(df, order))
+    hot = F.broadcast(hot.select(GROUP, F.lit(True).alias(HOT)))
+    return Split(hot, _cut_points(df.withColumn(GROUP, group_of(keys)).join(hot, GROUP), order))
+
+
 def scan(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     wanted: Wanted,
-    hot: DataFrame | None | str = FIND,
+    split: Split | None | str = FIND,
+    keep: bool = False,
 ) -> DataFrame:
     """Add the wanted columns to every row of ``df``.
 
     ``order`` must order the rows of a group fully, and its first column must be a number, date or
-    timestamp. ``hot`` takes the result of ``hot_groups`` where the caller knows a cheaper table to
-    count the keys in than ``df``.
+    timestamp. With ``keep`` the segments of a split table stay in it as columns, and a further scan
+    in the same order works on them without another shuffle; ``drop_segments`` takes them out.
     """
-    if hot is FIND:
-        hot = hot_groups(df, keys)
-    if hot is None:
+    if split is FIND:
+        split = find_split(df, keys, order)
+    if split is None:
         return df.select("*", *_window_columns(wanted, Window.partitionBy(*keys), order))
-    return _segmented(df, keys, order, wanted, hot)
+    return _segmented(df, keys, order, wanted, split, keep)
+
+
+def drop_segments(df: DataFrame) -> DataFrame:
+    return df.drop(GROUP, SEGMENT, HOT)
 
 
 def _window_columns(wanted: Wanted, groups, order: list[str]) -> list[Column]:
@@ -79,28 +124,33 @@ def _window_columns(wanted: Wanted, groups, order: list[str]) -> list[Column]:
 
 
 def _segmented(
-    df: DataFrame, keys: list[str], order: list[str], wanted: Wanted, hot: DataFrame
+    df: DataFrame, keys: list[str], order: list[str], wanted: Wanted, split: Split, keep: bool
 ) -> DataFrame:
-    hot = F.broadcast(hot.select(GROUP, F.lit(True).alias("__hot")))
-    grouped = df.withColumn(GROUP, group_of(keys))
-    hot_only = grouped.join(hot, GROUP)
-    cuts = _cut_points(hot_only, order)
-    rows = _with_segment(grouped.join(hot, GROUP, "left"), order, cuts)
+    if SEGMENT in df.columns:
+        rows = df
+        hot_only = df.where(F.col(HOT))
+    else:
+        grouped = df.withColumn(GROUP, group_of(keys))
+        if split.hot is None:
+            marked = hot_only = grouped.withColumn(HOT, F.lit(True))
+        else:
+            marked = grouped.join(split.hot, GROUP, "left")
+            hot_only = grouped.join(split.hot, GROUP)
+        rows = _with_segment(marked, order, split.cuts)
+        hot_only = _with_segment(hot_only, order, split.cuts)
+    own = [c for c in rows.columns if keep or c not in (GROUP, SEGMENT, HOT)]
 
     segments = Window.partitionBy(GROUP, SEGMENT)
     local = rows.select(
-        *(F.col(f"`{c}`") for c in df.columns),
-        GROUP,
-        SEGMENT,
+        "*",
         *_window_columns(wanted, segments, order),
         F.row_number().over(segments.orderBy(*order)).alias("__segment_nth"),
         F.count(F.lit(1)).over(segments).alias("__segment_of"),
     )
-    carried = _carried(_with_segment(hot_only, order, cuts), order, wanted)
-    joined = local.join(carried, [GROUP, SEGMENT], "left")
+    joined = local.join(_carried(hot_only, order, wanted), [GROUP, SEGMENT], "left")
     types = local.schema
     return joined.select(
-        *(F.col(f"`{c}`") for c in df.columns),
+        *(F.col(f"`{c}`") for c in own),
         *(c.cast(types[n].dataType).alias(n) for n, c in _combined(wanted).items()),
     )
 
@@ -162,65 +212,78 @@ def _carried(rows: DataFrame, order: list[str], wanted: Wanted) -> DataFrame:
     return per_segment.select(GROUP, SEGMENT, "__carried", *carry)
 
 
-@dataclass(frozen=True)
-class Cuts:
-    """Cut points of the first order column, the range of the second, and steps between cuts."""
-
-    points: list
-    tie_low: object
-    tie_high: object
-    steps: int
-
-
-def _cut_points(rows: DataFrame, order: list[str]) -> Cuts | None:
+def _cut_points(rows: DataFrame, order: list[str]) -> Cuts:
     pieces = 4 * shuffle_partitions(rows)
     quantiles = min(QUANTILES, pieces)
     shares = [i / quantiles for i in range(1, quantiles)]
-    found = rows.select(_number(rows, order[0]).alias("x"), _tie(rows, order).alias("tie")).agg(
+    x, nan, tie = _number(rows, order[0]), _not_a_number(rows, order[0]), _tie(rows, order)
+    found = rows.select(x.alias("x"), nan.alias("nan"), tie.alias("tie")).agg(
         F.min("x").alias("low"),
         F.max("x").alias("high"),
-        F.percentile_approx("x", shares, 10_000).alias("points"),
+        F.percentile_approx("x", shares, 2_000).alias("points"),
         F.min("tie").alias("tie_low"),
         F.max("tie").alias("tie_high"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("nan").alias("nans"),
+        F.count_if(F.col("x").isNull() & ~F.col("nan")).alias("nulls"),
     ).first()
-    if found["low"] is None:
-        return None
-    points = sorted({found["low"], *found["points"], found["high"]})
-    steps = max(1, math.ceil(pieces / quantiles))
-    return Cuts(points, found["tie_low"], found["tie_high"], steps)
+    points = sorted({found["low"], *(found["points"] or ()), found["high"]} - {None}) or [0]
+    steps = math.ceil(pieces / quantiles)
+    # A value that is several quantiles at once holds as many shares of the rows.
+    tie_steps = [steps * max(1, (found["points"] or []).count(p)) for p in points]
+    for n in (found["nans"], found["nulls"]):
+        tie_steps.append(max(1, math.ceil(pieces * n / max(1, found["n"]))))
+    return Cuts(points, found["tie_low"], found["tie_high"], steps, tie_steps)
 
 
-def _with_segment(df: DataFrame, order: list[str], cuts: Cuts | None) -> DataFrame:
+def _with_segment(df: DataFrame, order: list[str], cuts: Cuts) -> DataFrame:
     """Number the segments of hot rows so that the number never falls along the order.
 
     Rows equal to a cut point form a cell of their own, cut further along the second order column,
-    so a value that many rows share is split as well. Rows between two cut points are cut further
-    by even steps. The columns are added one by one to keep each expression small.
+    so a value that many rows share is split as well; so do nulls, which come first, and rows that
+    are not a number, which come last. Rows between two cut points are cut further by even steps.
+    The columns are added one by one to keep each expression small.
     """
-    if cuts is None:
-        return df.withColumn(SEGMENT, F.lit(0).cast("bigint"))
+    count = len(cuts.points)
     points = F.array(*(F.lit(p) for p in cuts.points))
-    last = F.lit(len(cuts.points))
-    x, cell, low = F.col("__x"), F.col("__cell"), F.col("__low")
-    finite = x.cast("double") < F.lit(float("inf"))
-    tie_step = _step(F.col("__tie"), F.lit(cuts.tie_low), F.lit(cuts.tie_high), cuts.steps)
-    step = F.when((x == low) & finite, tie_step).when(x == low, 0).otherwise(
-        _step(x, low, F.col("__high"), cuts.steps)
+    tie_steps = F.array(*(F.lit(n) for n in cuts.tie_steps))
+    x, cell, low, nan = (F.col(c) for c in ("__x", "__cell", "__low", "__nan"))
+    tied = nan | x.isNull() | (x == low)
+    tie_step = _step(
+        F.col("__tie"),
+        F.lit(cuts.tie_low),
+        F.lit(cuts.tie_high),
+        F.element_at(tie_steps, F.when(nan, count + 1).when(x.isNull(), count + 2).otherwise(cell)),
+    )
+    step = F.when(tied, tie_step).otherwise(_step(x, low, F.col("__high"), F.lit(cuts.steps)))
+    place = (
+        F.when(nan, 2 * (count + 1))
+        .when(x.isNull(), 0)
+        .otherwise(2 * cell + F.when(x == low, 0).otherwise(1))
     )
-    number = (2 * cell + F.when(x == low, 0).otherwise(1)).cast("bigint") * cuts.steps + step
-    placed = F.when(F.col("__hot"), F.when(x.isNull(), F.lit(-1)).otherwise(number)).otherwise(0)
+    number = place.cast("bigint") * max(cuts.tie_steps) + step
     return (
-        df.withColumns({"__x": _number(df, order[0]), "__tie": _tie(df, order)})
-        .withColumn("__cell", _count_at_most(x, cuts.points, 0, len(cuts.points)))
+        df.withColumns(
+            {
+                "__x": _number(df, order[0]),
+                "__nan": _not_a_number(df, order[0]),
+                "__tie": _tie(df, order),
+            }
+        )
+        .withColumn("__cell", _count_at_most(x, cuts.points, 0, count))
         .withColumn("__low", F.element_at(points, cell))
-        .withColumn("__high", F.element_at(points, F.least(cell + 1, last)))
-        .withColumn(SEGMENT, placed.cast("bigint"))
-        .drop("__x", "__tie", "__cell", "__low", "__high")
+        .withColumn("__high", F.element_at(points, F.least(cell + 1, F.lit(count))))
+        .withColumn(SEGMENT, F.when(F.col(HOT), number).otherwise(0).cast("bigint"))
+        .drop("__x", "__nan", "__tie", "__cell", "__low", "__high")
     )
 
 
 def _tie(df: DataFrame, order: list[str]) -> Column:
-    return _number(df, order[1]) if len(order) > 1 and _splits_ties(df, order) else F.lit(0)
+    """The second order column as a number, or nothing to cut ties by. Not a number counts as last."""
+    if len(order) == 1 or not _splits_ties(df, order):
+        return F.lit(0)
+    last = F.lit(float("inf"))
+    return F.when(_not_a_number(df, order[1]), last).otherwise(_number(df, order[1]))
 
 
 def _count_at_most(x: Column, cuts: list, start: int, end: int) -> Column:
@@ -233,11 +296,11 @@ def _count_at_most(x: Column, cuts: list, start: int, end: int) -> Column:
     )
 
 
-def _step(x: Column, low: Column, high: Column, steps: int) -> Column:
+def _step(x: Column, low: Column, high: Column, steps: Column) -> Column:
     x, low, high = x.cast("double"), low.cast("double"), high.cast("double")
     share = F.when(high > low, (x - low) / (high - low)).otherwise(0.0)
     inside = F.when((share > 0) & (share < 1), F.floor(share * steps)).when(share >= 1, steps - 1)
-    return F.least(F.coalesce(inside, F.lit(0)).cast("bigint"), F.lit(steps - 1).cast("bigint"))
+    return F.least(F.coalesce(inside, F.lit(0)), steps - 1).cast("bigint")
 
 
 def _splits_ties(df: DataFrame, order: list[str]) -> bool:
@@ -265,12 +328,18 @@ def _number(df: DataFrame, name: str) -> Column:
     if dtype == "timestamp_ntz":
         return ntz_micros(c)
     if dtype in FLOATS:
-        return F.nanvl(c.cast("double"), F.lit(float("inf")))
+        return F.when(~F.isnan(c), c.cast("double"))
     if dtype.startswith("decimal"):
         return c.cast("double")
     raise ValueError(f"cannot cut groups along {name}: {dtype} is not a number, date or timestamp")
 
 
+def _not_a_number(df: DataFrame, name: str) -> Column:
+    if dict(df.dtypes)[name] not in FLOATS:
+        return F.lit(False)
+    return F.coalesce(F.isnan(F.col(f"`{name}`")), F.lit(False))
+
+
 def ntz_micros(c: Column) -> Column:
     """Microseconds since 1970 of a timestamp without zone, whatever the session time zone."""
     seconds = F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600

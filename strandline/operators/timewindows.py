@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandline.operators.hot import hot_groups
-from strandline.operators.scan import Wanted, ntz_micros, scan
+from strandline.operators.scan import Wanted, find_split, ntz_micros, scan
 
 
 def tumbling(
@@ -42,12 +41,12 @@ def session_starts(
     Aggregating by key and session start then needs no ordering, and a session of any size is added
     up before the shuffle. ``session_window`` would bring all rows of a key to one task.
     """
-    hot = hot_groups(df, keys)
     order = [time, tie]
-    with_previous = scan(df, keys, order, Wanted(lags={"__previous": F.col(time)}), hot)
+    split = find_split(df, keys, order)
+    wanted = Wanted(lags={"__previous": F.col(time)})
+    with_previous = scan(df, keys, order, wanted, split, keep=True)
     since = ntz_micros(F.col(time)) - ntz_micros(F.col("__previous"))
     opens = F.col("__previous").isNull() | (since > gap_seconds * 1_000_000)
     marked = with_previous.withColumn("__opens", F.when(opens, F.col(time)))
-    return scan(marked, keys, order, Wanted(lasts={name: F.col("__opens")}), hot).drop(
-        "__previous", "__opens"
-    )
+    placed = scan(marked, keys, order, Wanted(lasts={name: F.col("__opens")}), split)
+    return placed.drop("__previous", "__opens")

@@ -8,15 +8,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandline.operators.hot import GROUP, group_of, hot_groups
-from strandline.operators.scan import FIND, Wanted, ntz_micros, scan
+from strandline.operators.hot import GROUP, hot_groups
+from strandline.operators.joins import interval_totals
+from strandline.operators.scan import (
+    FIND,
+    HOT,
+    Wanted,
+    drop_segments,
+    find_split,
+    ntz_micros,
+    scan,
+)
 
 
 def row_numbers(
-    df: DataFrame, keys: list[str], order: list[str], name: str, hot=FIND
+    df: DataFrame, keys: list[str], order: list[str], name: str
 ) -> DataFrame:
     """Number the rows of each group from 1. With no keys, number the whole table."""
-    return scan(df, keys, order, Wanted(sums={name: F.lit(1).cast("bigint")}), hot)
+    return scan(df, keys, order, Wanted(sums={name: F.lit(1).cast("bigint")}))
 
 
 def tiles(df: DataFrame, keys: list[str], order: list[str], n: int, name: str) -> DataFrame:
@@ -39,13 +48,13 @@ def peer_ranks(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     Rows of a group with the same order value are peers and rank alike, so peers are counted before
     anything is ordered. The ranks are worked out on one row per peer set and joined back.
     """
-    hot = hot_groups(df, keys)
+    split = find_split(df, keys, [order])
     peers = df.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("__peers"))
     one = F.lit(1).cast("bigint")
     wanted = Wanted(
         sums={"__upto": F.col("__peers"), "__dense": one}, totals={"__of": F.col("__peers")}
     )
-    ranked = scan(peers, keys, [order], wanted, hot)
+    ranked = scan(peers, keys, [order], wanted, split)
     rank = F.col("__upto") - F.col("__peers") + 1
     of = F.col("__of")
     ranked = ranked.select(
@@ -89,48 +98,38 @@ def moving_rows(
     of ``block`` rows, and the last ``back`` rows of a block are also sent to the next one, where
     they fill the frames of its first rows.
     """
-    hot = hot_groups(df, keys)
-    if hot is None:
+    split = find_split(df, keys, order)
+    if split is None:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-back, 0)
         return df.select("*", *(a.over(frame).alias(n) for n, a in aggs.items()))
     block = max(block, back)
-    numbered = row_numbers(df, keys, order, "__nth", hot)
-    home = F.floor((F.col("__nth") - 1) / block)
-    sent_on = (F.col("__nth") - 1) % block >= block - back
+    nth = F.col("__nth") - 1
+    numbered = scan(
+        df, keys, order, Wanted(sums={"__nth": F.lit(1).cast("bigint")}), split, keep=True
+    )
+    home = F.when(F.col(HOT), F.floor(nth / block)).otherwise(-1)
+    sent_on = F.coalesce(F.col(HOT), F.lit(False)) & (nth % block >= block - back)
+    copies = F.when(sent_on, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    spread = numbered.select("*", home.alias("__home"), F.explode(copies).alias("__copy"))
+    spread = spread.withColumn("__block", F.col("__home") + F.col("__copy"))
     frame = Window.partitionBy(GROUP, "__block").orderBy("__nth").rowsBetween(-back, 0)
-    return _within_blocks(numbered, keys, home, sent_on, frame, aggs).drop("__nth")
+    framed = spread.select("*", *(a.over(frame).alias(n) for n, a in aggs.items()))
+    own = framed.where(F.col("__copy") == 0)
+    return drop_segments(own).drop("__nth", "__home", "__copy", "__block")
 
 
-def moving_range(
-    df: DataFrame,
-    keys: list[str],
-    time: str,
-    seconds: int,
-    aggs: dict[str, Column],
+def moving_range_sums(
+    df: DataFrame, keys: list[str], time: str, id: str, seconds: int, sums: dict[str, Column]
 ) -> DataFrame:
-    """Aggregates over the rows of the last ``seconds`` up to each row's ``time``, peers included.
+    """Sums over the rows of the last ``seconds`` up to each row's ``time``, peers included.
 
-    ``time`` is a timestamp without zone and not null. Without hot groups this is one window. With
-    them, a group is cut into time blocks ``seconds`` long and each row also goes to the next block.
+    ``time`` is a timestamp without zone, not null, and ``id`` names a row. The sums should be over
+    whole numbers or decimals. Gives the keys, the id and the sums. Without hot groups this is one
+    window. A window adds up each frame anew, which a hot group's long frames do not allow, so there
+    the sums are read off running totals.
     """
-    at = "__micros"
-    hot = hot_groups(df, keys)
-    timed = df.withColumn(at, ntz_micros(F.col(time)))
-    span = seconds * 1_000_000
-    if hot is None:
-        frame = Window.partitionBy(*keys).orderBy(at).rangeBetween(-span, 0)
-        return timed.select("*", *(a.over(frame).alias(n) for n, a in aggs.items())).drop(at)
-    home = F.floor(F.col(at) / span)
-    frame = Window.partitionBy(GROUP, "__block").orderBy(at).rangeBetween(-span, 0)
-    return _within_blocks(timed, keys, home, F.lit(True), frame, aggs).drop(at)
-
-
-def _within_blocks(df, keys, home: Column, sent_on: Column, frame, aggs) -> DataFrame:
-    """Run ``frame`` inside blocks, with the rows marked ``sent_on`` also present in the next."""
-    copies = F.when(sent_on, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    spread = df.select(
-        "*", group_of(keys).alias(GROUP), home.alias("__home"), F.explode(copies).alias("__copy")
-    ).withColumn("__block", F.col("__home") + F.col("__copy"))
-    framed = spread.select("*", *(a.over(frame).alias(n) for n, a in aggs.items()))
-    own = framed.where(F.col("__copy") == 0)
-    return own.drop(GROUP, "__home", "__copy", "__block")
+    if hot_groups(df, keys) is not None:
+        return interval_totals(df, df, keys, id, time, time, seconds, sums)
+    timed = df.withColumn("__micros", ntz_micros(F.col(time)))
+    frame = Window.partitionBy(*keys).orderBy("__micros").rangeBetween(-seconds * 1_000_000, 0)
+    return timed.select(*keys, id, *(F.sum(c).over(frame).alias(n) for n, c in sums.items()))

@@ -110,6 +110,6 @@ def moving_rows(spark: SparkSession, sf: str) -> DataFrame:
 def moving_range(spark: SparkSession, sf: str) -> DataFrame:
     """Totals of each user's last day up to each event."""
     events = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
-    aggs = {"cents": F.sum(units("value", 2)), "n": F.count(F.lit(1))}
-    moved = windows.moving_range(events, ["user_id"], "ts", 86_400, aggs)
+    sums = {"cents": units("value", 2), "n": F.lit(1).cast("bigint")}
+    moved = windows.moving_range_sums(events, ["user_id"], "ts", "event_id", 86_400, sums)
     return moved.select("event_id", "user_id", from_units("cents", 2).alias("sum_value"), "n")

@@ -5,7 +5,7 @@ from pyspark.sql import Window, functions as F
 
 from strandline.operators import windows
 from strandline.operators.hot import hot_groups
-from strandline.operators.scan import Wanted, scan
+from strandline.operators.scan import Wanted, find_split, scan
 from tests.skewed import rows_of, skewed
 
 
@@ -37,7 +37,7 @@ def test_scan(rows, split_groups, order, keys):
         leads={"lead_v": F.col("v")},
     )
     got = scan(rows, keys, order, wanted)
-    plain = scan(rows, keys, order, wanted, hot=None)
+    plain = scan(rows, keys, order, wanted, split=None)
     assert got.dtypes == plain.dtypes
     assert rows_of(got, *got.columns) == rows_of(plain, *got.columns)
 
@@ -74,13 +74,25 @@ def test_moving_rows(rows, split_groups, block):
 
 
 @pytest.mark.parametrize("seconds", [3600, 86_400])
-def test_moving_range(rows, split_groups, seconds):
-    aggs = {"s": F.sum("v"), "n": F.count(F.lit(1))}
-    got = windows.moving_range(rows, ["k"], "ts", seconds, aggs)
+def test_moving_range_sums(rows, split_groups, seconds):
+    sums = {"s": F.coalesce("v", F.lit(0)), "n": F.lit(1).cast("bigint")}
+    got = windows.moving_range_sums(rows, ["k"], "ts", "id", seconds, sums)
     rows.createOrReplaceTempView("skewed_rows")
     expected = rows.sparkSession.sql(
-        f"""SELECT id, sum(v) OVER w AS s, count(*) OVER w AS n FROM skewed_rows
+        f"""SELECT id, sum(coalesce(v, 0)) OVER w AS s, count(*) OVER w AS n FROM skewed_rows
         WINDOW w AS (PARTITION BY k ORDER BY ts
             RANGE BETWEEN INTERVAL {seconds} SECONDS PRECEDING AND CURRENT ROW)"""
     )
     assert rows_of(got, *expected.columns) == rows_of(expected, *expected.columns)
+
+
+def test_segments_of_hot_groups_are_small(rows, split_groups):
+    """The largest piece any task sees is a small part of the hot group."""
+    from strandline.operators.scan import _with_segment
+
+    split = find_split(rows, [], ["x", "id"])
+    marked = rows.withColumn("__hot", F.lit(True))
+    sizes = _with_segment(marked, ["x", "id"], split.cuts).groupBy("__segment").count()
+    largest = sizes.where("__segment >= 0").agg(F.max("count")).first()[0]
+    assert rows.where("x = 5").count() > rows.count() / 3
+    assert largest < rows.count() / 10
