@@ -11,15 +11,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from strandline.operators.scan import ntz_micros
+
 
 def zoned(c: str | Column) -> Column:
     """A timestamp without zone as the instant it names in UTC, whatever the session time zone."""
-    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), c).cast("timestamp")
+    return F.timestamp_micros(ntz_micros(F.col(c) if isinstance(c, str) else c))
 
 
 def unzoned(c: str | Column) -> Column:
-    local = (F.col(c) if isinstance(c, str) else c).cast("timestamp_ntz")
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
+    """An instant as the time it has in UTC, without zone."""
+    since = F.unix_micros(c).cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(7,0)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(secs=since.cast("decimal(18,6)"))
 
 
 def event_time(stream: DataFrame, time: str, delay: str) -> DataFrame:
