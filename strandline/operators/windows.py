@@ -8,17 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandline.operators.hot import GROUP, hot_groups
+from strandline.operators.hot import GROUP
 from strandline.operators.joins import interval_totals
-from strandline.operators.scan import (
-    FIND,
-    HOT,
-    Wanted,
-    drop_segments,
-    find_split,
-    ntz_micros,
-    scan,
-)
+from strandline.operators.scan import HOT, Wanted, drop_segments, find_split, scan
 
 
 def row_numbers(
@@ -124,12 +116,8 @@ def moving_range_sums(
     """Sums over the rows of the last ``seconds`` up to each row's ``time``, peers included.
 
     ``time`` is a timestamp without zone, not null, and ``id`` names a row. The sums should be over
-    whole numbers or decimals. Gives the keys, the id and the sums. Without hot groups this is one
-    window. A window adds up each frame anew, which a hot group's long frames do not allow, so there
-    the sums are read off running totals.
+    whole numbers or decimals. Gives the keys, the id and the sums. A RANGE window adds up every
+    frame anew, so its work grows with rows times frame; here the sums are read off running totals
+    at both ends of the frame.
     """
-    if hot_groups(df, keys) is not None:
-        return interval_totals(df, df, keys, id, time, time, seconds, sums)
-    timed = df.withColumn("__micros", ntz_micros(F.col(time)))
-    frame = Window.partitionBy(*keys).orderBy("__micros").rangeBetween(-seconds * 1_000_000, 0)
-    return timed.select(*keys, id, *(F.sum(c).over(frame).alias(n) for n, c in sums.items()))
+    return interval_totals(df, df, keys, id, time, time, seconds, sums)

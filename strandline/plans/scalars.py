@@ -53,7 +53,7 @@ def text_functions(spark: SparkSession, sf: str) -> DataFrame:
         F.md5("text").alias("fingerprint"),
         F.size(F.split("text", "\n")).alias("lines"),
         F.contains(F.lower("text"), F.lit("the")).alias("has_the"),
-        F.length(F.regexp_replace("text", "[^0-9]", "")).alias("digits"),
+        F.regexp_count("text", F.lit("[0-9]")).alias("digits"),
     )
 
 

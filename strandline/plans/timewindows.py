@@ -33,7 +33,7 @@ def tumbling_window(spark: SparkSession, sf: str) -> DataFrame:
 def sliding_window(spark: SparkSession, sf: str) -> DataFrame:
     """Day-long windows every six hours, from six-hour sums."""
     events = table(spark, sf, "events").select("ts", "event_type", "value")
-    sums = {"n": F.lit(1).cast("bigint"), "cents": units("value", 2).cast("decimal(18,0)")}
+    sums = {"n": F.lit(1).cast("bigint"), "cents": units("value", 2)}
     windows = timewindows.sliding_sums(events, "ts", "1 day", "6 hours", ["event_type"], sums)
     return windows.select(
         "start", "end", "event_type", "n", from_units("cents", 2).alias("value")
