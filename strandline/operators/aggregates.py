@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
+from strandline.operators.hot import dealt
 from strandline.operators.scan import Wanted, find_split, scan
 
 
@@ -42,13 +43,13 @@ def exact_percentile(
 
 
 def blocks(
-    df: DataFrame, spread: list[str], rows_per_block: int = 500_000, name: str = "block"
+    df: DataFrame, rows_per_block: int = 500_000, name: str = "block"
 ) -> DataFrame:
-    """Deal rows to blocks by a hash of ``spread``, to bound what a grouped UDF is handed.
+    """Deal rows to blocks, to bound what a grouped UDF is handed.
 
     A group of a grouped UDF is held in a Python worker whole. Grouped by key and block it has about
     ``rows_per_block`` rows at most, whatever share of the table the key has, and gives partial
     results; adding those up is left to a built-in aggregate.
     """
     count = max(1, math.ceil(df.count() / rows_per_block))
-    return df.withColumn(name, F.pmod(F.xxhash64(*spread), F.lit(count)).cast("int"))
+    return df.withColumn(name, dealt(df.columns, F.lit(count)))

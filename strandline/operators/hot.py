@@ -50,3 +50,13 @@ def hot_groups(df: DataFrame, keys: list[str]) -> DataFrame | None:
     if not found:
         return None
     return df.sparkSession.createDataFrame(found, largest.schema)
+
+
+def dealt(columns: list[str], pieces: Column) -> Column:
+    """A number below ``pieces`` for each row, to deal the rows of a group out evenly.
+
+    It follows from the row and the partition it was read in, not from the order of rows or from
+    chance, so a task that is run again deals its rows the same way. The partition tells copies of
+    one row apart.
+    """
+    return F.pmod(F.xxhash64(*columns, F.spark_partition_id()), pieces.cast("bigint")).cast("int")

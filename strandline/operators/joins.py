@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandline.operators.hot import GROUP, group_of, hot_groups
+from strandline.operators.hot import GROUP, dealt, group_of, hot_groups
 from strandline.operators.scan import Wanted, ntz_micros, scan
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", spread: list[str] = None
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner"
 ) -> DataFrame:
     """Inner, left, semi or anti join whose ``left`` side may have hot keys.
 
-    Left rows with a hot key are dealt over as many salts as average partitions the key fills, by a
-    hash of the ``spread`` columns (all columns unless named), and right rows with such a key are
-    copied to each of its salts. Other rows keep salt 0 and are not copied. The hash is worked out
-    from the row, so a task that is run again deals its rows the same way.
+    Left rows with a hot key are dealt over as many salts as average partitions the key fills, and
+    right rows with such a key are copied to each of its salts. Other rows keep salt 0 and are not
+    copied.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting the left side cannot serve a {how} join")
@@ -25,12 +24,12 @@ def salted_join(
         return left.join(right, on, how)
     keys = F.broadcast(hot.select(F.col(GROUP).alias("__key"), "pieces"))
     pieces = F.col("pieces")
-    dealt = F.pmod(F.xxhash64(*(spread or left.columns)), pieces.cast("bigint")).cast("int")
+    salt = F.coalesce(dealt(left.columns, pieces), F.lit(0))
     salts = F.when(pieces.isNotNull(), F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.lit(0)))
     left = (
         left.withColumn("__key", group_of(on))
         .join(keys, "__key", "left")
-        .withColumn("__salt", F.coalesce(dealt, F.lit(0)))
+        .withColumn("__salt", salt)
         .drop("pieces", "__key")
     )
     right = (

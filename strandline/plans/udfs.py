@@ -34,7 +34,7 @@ def grouped_map_udf(spark: SparkSession, sf: str) -> DataFrame:
         return pd.DataFrame([{"o_orderpriority": priority, **udfs.moments(block)}])
 
     parts = (
-        blocks(orders, ["o_orderkey"])
+        blocks(orders)
         .groupBy("o_orderpriority", "block")
         .applyInPandas(sums, f"o_orderpriority string, {udfs.MOMENTS}")
         .groupBy("o_orderpriority")
@@ -52,10 +52,9 @@ def grouped_map_udf(spark: SparkSession, sf: str) -> DataFrame:
 def aggregate_udf(spark: SparkSession, sf: str) -> DataFrame:
     """Geometric mean. The user aggregate runs per block of a group and the blocks are weighed."""
     line = table(spark, sf, "lineitem").select(
-        "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
+        "l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice"
     )
-    spread = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    dealt = blocks(line, spread).select("l_returnflag", "block", "l_extendedprice")
+    dealt = blocks(line).select("l_returnflag", "block", "l_extendedprice")
     groups = dealt.groupBy("l_returnflag", "block")
     logs = groups.agg(
         udfs.mean_log("l_extendedprice").alias("mean_log"), udfs.rows("l_extendedprice").alias("n")

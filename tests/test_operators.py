@@ -103,12 +103,25 @@ def test_exact_percentile(rows, split_groups):
 
 
 def test_blocks_bound_groups(rows):
-    dealt = blocks(rows, ["id"], rows_per_block=100)
+    dealt = blocks(rows, rows_per_block=100)
     sizes = dealt.groupBy("k", "block").count()
     assert sizes.agg(F.max("count")).first()[0] < 150
     assert dealt.count() == rows.count()
 
 
+def test_blocks_split_copies_of_one_row(spark):
+    copies = spark.range(4000).repartition(40).select(F.lit(1).alias("k"))
+    sizes = blocks(copies, rows_per_block=1000).groupBy("block").count()
+    assert sizes.agg(F.max("count")).first()[0] < 2500
+
+
+def test_salted_join_of_copies(spark, split_groups):
+    left = spark.range(4000).repartition(40).select(F.lit(1).alias("k"))
+    right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, name string")
+    joined = joins.salted_join(left, right, ["k"])
+    assert [tuple(r) for r in joined.groupBy("k", "name").count().collect()] == [(1, "a", 4000)]
+
+
 def _multiset(df):
     return Counter(map(repr, df.collect()))
 
