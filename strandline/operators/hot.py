@@ -31,7 +31,12 @@ def group_of(keys: list[str]) -> Column:
 
 
 def hot_groups(df: DataFrame, keys: list[str]) -> DataFrame | None:
-    """The groups of ``df`` that outgrow an average shuffle partition, or None.
+    """The groups of ``df`` that outgrow an average shuffle partition, or None."""
+    return counted_groups(df, keys)[1]
+
+
+def counted_groups(df: DataFrame, keys: list[str]) -> tuple[int, DataFrame | None]:
+    """The number of rows, and the groups of ``df`` that outgrow an average shuffle partition, or None.
 
     Fewer groups than there are shuffle partitions can be that large, so the answer may be held by
     the driver and broadcast whatever the size of the data. Each row has the group as ``__group``
@@ -42,14 +47,14 @@ def hot_groups(df: DataFrame, keys: list[str]) -> DataFrame | None:
     total = df.count()
     floor = max(hot_rows(df), math.ceil(total / shuffle_partitions(df)))
     if total <= floor:
-        return None
+        return total, None
     sizes = df.groupBy(group_of(keys).alias(GROUP)).agg(F.count(F.lit(1)).alias("rows"))
     pieces = F.ceil(F.col("rows") / floor).cast("int").alias("pieces")
     largest = sizes.where(F.col("rows") > F.lit(floor)).select(GROUP, pieces)
     found = largest.collect()
     if not found:
-        return None
-    return df.sparkSession.createDataFrame(found, largest.schema)
+        return total, None
+    return total, df.sparkSession.createDataFrame(found, largest.schema)
 
 
 def dealt(columns: list[str], pieces: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.operators.hot import GROUP, dealt, group_of, hot_groups
-from strandline.operators.scan import Wanted, ntz_micros, scan
+from strandline.operators.scan import Wanted, find_split, ntz_micros, scan
 
 
 def salted_join(
@@ -148,7 +148,10 @@ def interval_totals(
         *(zero[n].alias(n) for n in names),
     )
     wanted = Wanted(sums={f"__{n}": F.coalesce(F.col(n), zero[n]) for n in names})
-    totals = scan(rows.unionAll(probes), keys, ["__at", "__side"], wanted)
+    # Hot keys and cut points show in the rows themselves, without the two ends of each interval.
+    plain = rows.select(*keys, "__at").unionAll(left.select(*keys, at.alias("__at")))
+    split = find_split(plain, keys, ["__at"])
+    totals = scan(rows.unionAll(probes), keys, ["__at", "__side"], wanted, split)
     sign = F.when(F.col("__side") == 2, F.lit(1)).otherwise(F.lit(-1))
     return (
         totals.where(F.col("__side") != 1)

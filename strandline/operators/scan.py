@@ -14,11 +14,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandline.operators.hot import GROUP, group_of, hot_groups, shuffle_partitions
+from strandline.operators.hot import GROUP, counted_groups, group_of, shuffle_partitions
 
 SEGMENT = "__segment"
 HOT = "__hot"
 QUANTILES = 64
+# Cut points are taken from about this many rows.
+SAMPLE_ROWS = 2_000_000
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 FLOATS = ("float", "double")
@@ -73,16 +75,19 @@ class Split:
 def find_split(df: DataFrame, keys: list[str], order: list[str]) -> Split | None:
     """How to split ``df`` for a scan with these keys and this order; None where no group is hot.
 
-    Reads the key and order columns of ``df`` only. A split may be used for any table with the same
+    Reads the key and order columns of ``df`` only, and takes the cut points from a sample where it
+    is large: they set how even the pieces are, not what comes out. A split may be used for any table with the same
     keys and order columns, so it can be found in a plain table and used for what is derived from it.
     """
-    hot = hot_groups(df, keys)
+    total, hot = counted_groups(df, keys)
     if hot is None:
         return None
+    sample = df if total <= SAMPLE_ROWS else df.sample(SAMPLE_ROWS / total, seed=1)
     if not keys:
-        return Split(None, _cut_points(df, order))
+        return Split(None, _cut_points(sample, order))
     hot = F.broadcast(hot.select(GROUP, F.lit(True).alias(HOT)))
-    return Split(hot, _cut_points(df.withColumn(GROUP, group_of(keys)).join(hot, GROUP), order))
+    sample = sample.withColumn(GROUP, group_of(keys)).join(hot, GROUP)
+    return Split(hot, _cut_points(sample, order))
 
 
 def scan(
@@ -253,7 +258,10 @@ def _with_segment(df: DataFrame, order: list[str], cuts: Cuts) -> DataFrame:
         F.col("__tie"),
         F.lit(cuts.tie_low),
         F.lit(cuts.tie_high),
-        F.element_at(tie_steps, F.when(nan, count + 1).when(x.isNull(), count + 2).otherwise(cell)),
+        F.element_at(
+            tie_steps,
+            F.when(nan, count + 1).when(x.isNull(), count + 2).otherwise(F.greatest(cell, F.lit(1))),
+        ),
     )
     step = F.when(tied, tie_step).otherwise(_step(x, low, F.col("__high"), F.lit(cuts.steps)))
     place = (
@@ -271,7 +279,7 @@ def _with_segment(df: DataFrame, order: list[str], cuts: Cuts) -> DataFrame:
             }
         )
         .withColumn("__cell", _count_at_most(x, cuts.points, 0, count))
-        .withColumn("__low", F.element_at(points, cell))
+        .withColumn("__low", F.element_at(points, F.greatest(cell, F.lit(1))))
         .withColumn("__high", F.element_at(points, F.least(cell + 1, F.lit(count))))
         .withColumn(SEGMENT, F.when(F.col(HOT), number).otherwise(0).cast("bigint"))
         .drop("__x", "__nan", "__tie", "__cell", "__low", "__high")
@@ -287,12 +295,12 @@ def _tie(df: DataFrame, order: list[str]) -> Column:
 
 
 def _count_at_most(x: Column, cuts: list, start: int, end: int) -> Column:
-    """How many of the sorted cut points are at most ``x``, by halving. The first one always is."""
-    if end - start == 1:
-        return F.lit(end)
+    """How many of the sorted cut points are at most ``x``, by halving."""
+    if start == end:
+        return F.lit(start)
     middle = (start + end) // 2
     return F.when(x < F.lit(cuts[middle]), _count_at_most(x, cuts, start, middle)).otherwise(
-        _count_at_most(x, cuts, middle, end)
+        _count_at_most(x, cuts, middle + 1, end)
     )
 
 

@@ -27,7 +27,9 @@ def test_small_groups_stay_whole(rows):
     "keys, order",
     [(["k"], ["x", "id"]), (["k"], ["v", "id"]), (["k", "name"], ["ts", "id"]), ([], ["x", "id"])],
 )
-def test_scan(rows, split_groups, order, keys):
+@pytest.mark.parametrize("sample", [100, 2_000_000])
+def test_scan(rows, split_groups, monkeypatch, order, keys, sample):
+    monkeypatch.setattr("strandline.operators.scan.SAMPLE_ROWS", sample)
     wanted = Wanted(
         sums={"nth": F.lit(1).cast("bigint"), "sum_v": F.col("v")},
         totals={"all_v": F.col("v"), "of": F.lit(1).cast("bigint")},
