@@ -20,7 +20,7 @@ SEGMENT = "__segment"
 HOT = "__hot"
 QUANTILES = 64
 # Cut points are taken from about this many rows.
-SAMPLE_ROWS = 2_000_000
+SAMPLE_ROWS = 500_000
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 FLOATS = ("float", "double")
@@ -76,8 +76,9 @@ def find_split(df: DataFrame, keys: list[str], order: list[str]) -> Split | None
     """How to split ``df`` for a scan with these keys and this order; None where no group is hot.
 
     Reads the key and order columns of ``df`` only, and takes the cut points from a sample where it
-    is large: they set how even the pieces are, not what comes out. A split may be used for any table with the same
-    keys and order columns, so it can be found in a plain table and used for what is derived from it.
+    is large: they set how even the pieces are, not what comes out. A split may be used for any table
+    with the same keys and order columns, so it can be found in a plain table and used for what is
+    derived from it.
     """
     total, hot = counted_groups(df, keys)
     if hot is None:

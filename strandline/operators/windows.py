@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.operators.hot import GROUP
-from strandline.operators.joins import interval_totals
+from strandline.operators.joins import interval_totals, salted_join
 from strandline.operators.scan import HOT, Wanted, drop_segments, find_split, scan
 
 
@@ -38,7 +38,8 @@ def peer_ranks(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Add ``rank``, ``dense_rank``, ``percent_rank`` and ``cume_dist`` of each row in its group.
 
     Rows of a group with the same order value are peers and rank alike, so peers are counted before
-    anything is ordered. The ranks are worked out on one row per peer set and joined back.
+    anything is ordered. The ranks are worked out on one row per peer set and joined back, with the
+    rows of a large peer set dealt over many tasks.
     """
     split = find_split(df, keys, [order])
     peers = df.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("__peers"))
@@ -56,7 +57,8 @@ def peer_ranks(df: DataFrame, keys: list[str], order: str) -> DataFrame:
         F.when(of > 1, (rank - 1) / (of - 1)).otherwise(0.0).alias("percent_rank"),
         (F.col("__upto") / of).alias("cume_dist"),
     )
-    return df.withColumn(GROUP, F.struct(*keys, order)).join(ranked, GROUP).drop(GROUP)
+    peer_set = df.withColumn(GROUP, F.struct(*keys, order))
+    return salted_join(peer_set, ranked, [GROUP]).drop(GROUP)
 
 
 def neighbours(

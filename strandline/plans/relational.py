@@ -27,7 +27,7 @@ def partitioned_write(spark: SparkSession, sf: str) -> DataFrame:
     """Write orders by year, then read two years back: the other folders are not listed for reading."""
     orders = table(spark, sf, "orders").withColumn("order_year", F.year("o_orderdate"))
     path = scratch_path(spark, "orders-by-year")
-    write_partitioned(orders, path, "order_year", ["o_orderkey"], files_per_value=2)
+    write_partitioned(orders, path, "order_year")
     years = spark.read.parquet(path).where(F.col("order_year").isin(1996, 1999))
     return years.select("o_orderkey", "o_orderpriority", "order_year")
 

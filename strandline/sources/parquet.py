@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -12,13 +12,10 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(directory, f"{name}.parquet"))
 
 
-def write_partitioned(
-    df: DataFrame, path: str, by: str, spread: list[str], files_per_value: int
-) -> None:
-    """Write one directory per value of ``by``, each in at most ``files_per_value`` files.
+def write_partitioned(df: DataFrame, path: str, by: str) -> None:
+    """Write one directory per value of ``by``, in files of the size adaptive execution aims for.
 
-    Rows are shuffled by the value and a hash of ``spread``, so one value that holds most of
-    the rows is still written by ``files_per_value`` tasks and not by one.
+    Rebalancing sends the rows of a value to one task where they fit and splits a value that holds
+    much of the table over many tasks, each of which writes a file of its own.
     """
-    slot = F.pmod(F.xxhash64(*spread), F.lit(files_per_value))
-    df.repartition(F.col(by), slot).write.partitionBy(by).parquet(path)
+    df.hint("rebalance", by).write.partitionBy(by).parquet(path)

@@ -29,7 +29,7 @@ def arrivals(spark):
 
 def _stream(spark, folder):
     schema = table(spark, SF_DIR, "events").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream_folder(spark, folder, schema, files_per_batch=1)
 
 
 def test_windows_over_many_batches(spark, arrivals):
