@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from strandline.sources.scratch import scratch_path
 
@@ -17,15 +17,18 @@ def recurse(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFra
     round and a lost executor costs one round at most. The recursion ends with a round that gives
     no rows; ``step`` must come to that.
     """
-    spark = start.sparkSession
-    folder = scratch_path(spark, "recursion")
-    rounds = [_written(start, f"{folder}/round=0")]
-    while not rounds[-1].isEmpty():
-        found = step(rounds[-1]).select(*start.columns)
-        rounds.append(_written(found, f"{folder}/round={len(rounds)}"))
+    folder = scratch_path(start.sparkSession, "recursion")
+    reached, count = _written(start, f"{folder}/round=0")
+    rounds = [reached]
+    while count:
+        found = step(reached).select(*start.columns)
+        reached, count = _written(found, f"{folder}/round={len(rounds)}")
+        rounds.append(reached)
     return reduce(DataFrame.unionAll, rounds)
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _written(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """The rows as a table read back from ``path``, and how many there are, counted in passing."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
