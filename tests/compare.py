@@ -36,7 +36,7 @@ def canonical(frame: pd.DataFrame) -> list[str]:
     def text(value):
         if isinstance(value, (list, tuple)) or hasattr(value, "tolist"):
             value = value.tolist() if hasattr(value, "tolist") else list(value)
-        if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+        if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
             return "null"
         if isinstance(value, (int, float)):
             return repr(float(value))

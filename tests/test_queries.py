@@ -5,11 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry_point
+from strandline.plans import REGISTRY
 from tests.compare import TESTDATA, database, differences
 
 SF_DIR = os.path.join(TESTDATA, "sf0.001")
-QUERIES = entry_point.queries()
-SQL = entry_point.oracle_sql()
+QUERIES = {name: q.build for name, q in REGISTRY.items()}
+SQL = {name: q.sql for name, q in REGISTRY.items() if q.sql is not None}
 
 
 @pytest.fixture(scope="module")
@@ -38,5 +39,10 @@ def test_entry_gives_rows(spark):
     assert entry_point.entry(spark).count() > 0
 
 
+def test_entry_lists_every_query():
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(SQL) <= set(entry_point.oracle_sql())
+
+
 def test_only_sketches_lack_sql():
     assert set(QUERIES) - set(SQL) == {"approximate_aggregates"}
