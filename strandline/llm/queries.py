@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandline.llm import exact, mixing, sharding
+from strandline.llm import exact, mixing, quality, sharding, toxicity
 from strandline.llm.common import text_or_empty, word_count
 from strandline.plans.registry import Build, Query
 from strandline.sources import table
@@ -118,3 +118,13 @@ def op4_fair_mix(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op7_exact_copies(spark: SparkSession, sf: str) -> DataFrame:
     return exact.copies(table(spark, sf, "documents"))
+
+
+@query()
+def op8_subword_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query()
+def op10_attention_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
