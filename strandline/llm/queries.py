@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandline.llm import exact, mixing, packing, quality, sharding, toxicity
+from strandline.llm import exact, mixing, packing, quality, sharding, simhash, toxicity
 from strandline.llm.common import text_or_empty, word_count
 from strandline.plans.registry import Build, Query
 from strandline.sources import table
@@ -136,3 +136,8 @@ def op2_least_slack_packing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op5_simhash_components(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf, "documents").select("doc_id", "text"))
