@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandline.llm import exact, mixing, packing, quality, sharding, simhash, toxicity
+from strandline.llm import exact, mixing, packing, quality, sharding, simhash, substrings, toxicity
 from strandline.llm.common import text_or_empty, word_count
 from strandline.plans.registry import Build, Query
 from strandline.sources import table
@@ -141,3 +141,30 @@ def op2_least_slack_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op5_simhash_components(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query(
+    r"""WITH split AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, row_number() OVER () AS id FROM documents
+    ), windows AS (
+        SELECT id, unnest(range(1, len(words) - 33)) AS spot, words FROM split
+    ), keyed AS (
+        SELECT id, spot, md5(array_to_string(words[spot : spot + 34], ' ')) AS k FROM windows
+    ), twice AS (
+        SELECT id, spot FROM keyed QUALIFY count(*) OVER (PARTITION BY k) > 1
+    ), hit AS (
+        SELECT DISTINCT id, spot + step AS spot FROM twice, range(35) AS steps(step)
+    ), gone AS (
+        SELECT id, count(*) AS n, list(spot) AS spots FROM hit GROUP BY id
+    ), numbered AS (
+        SELECT s.id, unnest(s.words) AS word, generate_subscripts(s.words, 1) AS spot FROM split s
+    ), left_over AS (
+        SELECT n.id, string_agg(n.word, ' ' ORDER BY n.spot) AS rest
+        FROM numbered n ANTI JOIN hit h ON n.id = h.id AND n.spot = h.spot GROUP BY n.id
+    )
+    SELECT s.doc_id, CAST(len(s.words) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed,
+        sha256(coalesce(l.rest, '')) AS kept_sha256
+    FROM split s LEFT JOIN gone g ON s.id = g.id LEFT JOIN left_over l ON s.id = l.id"""
+)
+def op6_super_kmer_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
