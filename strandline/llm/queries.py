@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandline.llm import exact, mixing, packing, quality, sharding, simhash, substrings, toxicity
+from strandline.llm import exact, mixing, packing, quality, sharding, simhash, substrings, topk, toxicity
 from strandline.llm.common import text_or_empty, word_count
 from strandline.plans.registry import Build, Query
 from strandline.sources import table
@@ -168,3 +168,20 @@ def op5_simhash_components(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op6_super_kmer_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query(
+    """WITH whole AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+        FROM whole q JOIN whole d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id
+    ), ranked AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored
+    )
+    SELECT * FROM ranked WHERE rank <= 5"""
+)
+def op9_cover_tree_top5(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.nearest(table(spark, sf, "embeddings"), F.col("id") % 50 == 0)
