@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandline.llm import exact, mixing, packing, quality, sharding, simhash, substrings, topk, toxicity
+from strandline.llm import exact, mixing, packing, pages, quality, sharding, simhash, substrings, topk, toxicity
 from strandline.llm.common import text_or_empty, word_count
 from strandline.plans.registry import Build, Query
 from strandline.sources import table
@@ -185,3 +185,8 @@ def op6_super_kmer_repeats(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op9_cover_tree_top5(spark: SparkSession, sf: str) -> DataFrame:
     return topk.nearest(table(spark, sf, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query()
+def op1_page_differences(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.main_text(table(spark, sf, "pages"))
