@@ -96,16 +96,16 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, one for each text: that with the largest ``key``.
 
-    Equality and ties are those of ``copies``. Only rows whose hash may repeat are shuffled, and each task sends
-    at most one row a text.
+    Equality is that of ``copies``; of rows with the same key, the text with the largest hash stays. Only rows whose
+    hash may repeat are shuffled, and each task sends at most one row a text.
     """
     rows = docs.count()
     norm = ascii_lower(text_or_empty(text))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    given = docs.select(F.col(key).alias("key"), F.xxhash64(norm).alias("hash"), norm.alias("norm"), whole.alias("whole"))
+    given = docs.select(F.col(key).alias("key"), F.xxhash64(norm).alias("hash"), norm.alias("norm"), F.xxhash64(text).alias("raw"), whole.alias("whole"))
     found = stash(repeat_filter(docs.select(F.xxhash64(norm).alias("hash")), rows), "repeats")
     split = marked(given, found, rows)
     alone = split.where("NOT repeats").select("whole.*")
-    moved = split.where("repeats").select("key", F.sha2("norm", 256).alias("sha"), "whole")
-    best = moved.groupBy("sha").agg(F.max_by("whole", F.struct(F.col("key"), F.xxhash64("sha"))).alias("whole"))
+    moved = split.where("repeats").select("key", "raw", F.sha2("norm", 256).alias("sha"), "whole")
+    best = moved.groupBy("sha").agg(F.max_by("whole", F.struct("key", "raw")).alias("whole"))
     return alone.unionByName(best.select("whole.*"))

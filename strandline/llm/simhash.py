@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from strandline.llm.common import stash
 from strandline.llm.components import local_roots, roots
@@ -50,16 +49,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``key`` and ``print``, the fingerprint as a signed bigint, of every row. A null text has no words."""
+    """``key``, a hash of the text and ``print``, the fingerprint as a signed bigint, of every row. A null text has no words."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             data, starts, ends = raw(part.column("body"))
             found = np.array([fingerprint(data[a:b].tobytes(), shingle) for a, b in zip(starts, ends)], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found.view(np.int64))], [key, "print"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("hash"), pa.array(found.view(np.int64))], ["key", "hash", "print"])
 
-    narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
-    return narrow.mapInArrow(hashed, f"`{key}` {narrow.schema['key'].dataType.simpleString()}, print long")
+    narrow = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("body"))
+    return narrow.mapInArrow(hashed, f"key {narrow.schema['key'].dataType.simpleString()}, hash long, print long")
 
 
 def bucket_masks(count: int, radius: int = RADIUS) -> list[int]:
@@ -229,10 +228,31 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, k
     component. A null key is left out when the smallest is sought; a component of null keys has a null id. An
     empty table gives an empty result.
     """
-    given = stash(fingerprints(docs, key, text, shingle).select(F.col(key).alias("key"), "print"), "prints")
+    found = _grouped(docs, radius, shingle, key, text)
+    return found.select(F.col("key").alias(key), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, radius: int, shingle: int, key: str, text: str) -> DataFrame:
+    """``key``, ``hash`` and ``print`` of every row, the ``root`` print of its component and the ``component_id``."""
+    given = stash(fingerprints(docs, key, text, shingle), "prints")
     distinct = stash(given.groupBy("print").agg(F.min("key").alias("first")), "distinct-prints")
     stars = stash(roots(links(distinct.select("print"), radius)), "stars").withColumnRenamed("node", "print")
     joined = distinct.join(stars, "print", "left").withColumn("root", F.coalesce("root", "print"))
     lowest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stash(joined.join(lowest, "root").select("print", "component_id"), "components")
-    return given.join(named, "print").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    named = stash(joined.join(lowest, "root").select("print", "root", "component_id"), "components")
+    return given.join(named, "print")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, one for each component of ``near_copies``: that with the smallest key.
+
+    Null keys are largest. Of rows with that key the one with the smallest hash of its text stays, and one of rows alike
+    in both. Texts are shuffled once, to meet the rows that stay.
+    """
+    place = F.struct(F.col("key").isNull().alias("none"), "key", "hash")
+    stay = _grouped(docs, radius, shingle, key, text).groupBy("root").agg(F.min(place).alias("best"))
+    stay = stash(stay.select(F.struct(F.col("best.key").alias("k"), F.col("best.hash").alias("h")).alias("name")), "stay")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    named = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("name"), row)
+    nth = F.row_number().over(Window.partitionBy("name").orderBy(F.lit(0)))
+    return named.join(stay, "name", "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
