@@ -22,8 +22,8 @@ def fill_targets(sources: DataFrame, repeats: int = MOST_REPEATS) -> DataFrame:
     All totals are shared by weight; a target stops at ``repeats`` times its source's total and what is
     over is shared again until none is above. That ends at one level for all the sources not stopped.
     They are walked from the one that stops first (least cap for its weight): the level before each is
-    what is left of the whole for the weights left, and the first source whose cap is above it and all
-    after it get that level times their weight.
+    what is left of the whole for the weights left. It rises as long as sources stop and falls after, so
+    the largest is the level where no more stop.
     """
     cap = F.col("total") * F.lit(repeats)
     order = Window.orderBy(cap / F.col("weight"), "none", "source")
@@ -32,8 +32,8 @@ def fill_targets(sources: DataFrame, repeats: int = MOST_REPEATS) -> DataFrame:
     left = F.sum("total").over(every) - F.coalesce(F.sum(cap).over(upto), F.lit(0))
     weights = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
     leveled = sources.withColumn("level", left / weights)
-    open_ = F.min(F.when(F.col("level") * F.col("weight") <= cap, F.col("level"))).over(every)
-    return leveled.withColumn("target", F.least(cap.cast("double"), F.coalesce(open_, F.lit(0.0)) * F.col("weight"))).drop("level")
+    level = F.max("level").over(every)
+    return leveled.withColumn("target", F.least(cap.cast("double"), level * F.col("weight"))).drop("level")
 
 
 def fair_queue(

@@ -85,7 +85,8 @@ def op3_stratified_shards(spark: SparkSession, sf: str) -> DataFrame:
         WINDOW upto AS (ORDER BY 3 * total / weight, none, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
     ), plan AS (
         SELECT *, least(CAST(3 * total AS DOUBLE),
-            coalesce(min(CASE WHEN level * weight <= 3 * total THEN level END) OVER (), 0) * weight) AS target
+            coalesce((SELECT level FROM leveled WHERE level * weight <= 3 * total ORDER BY 3 * total / weight, none, source LIMIT 1), 0)
+            * weight) AS target
         FROM leveled
     ), queued AS (
         SELECT s.*, total, weight, target, CAST(sum(size) OVER (
