@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F, types as T
 
 
@@ -15,14 +17,9 @@ def price_per_size(price: pd.Series, size: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def mean_log(values: pd.Series) -> float:
-    """Mean of the logarithms of one block of a group."""
-    return float(np.log(values).mean())
-
-
-@F.pandas_udf(T.LongType())
-def rows(values: pd.Series) -> int:
-    return len(values)
+def weighted_mean(totals: pd.Series, counts: pd.Series) -> float:
+    """The mean of a group from the totals and counts of its parts."""
+    return float(totals.sum() / counts.sum())
 
 
 MOMENTS = "n long, sx double, sy double, sxx double, sxy double"
@@ -34,13 +31,37 @@ def moments(block: pd.DataFrame) -> dict[str, float]:
     return {"n": len(x), "sx": x.sum(), "sy": y.sum(), "sxx": (x * x).sum(), "sxy": (x * y).sum()}
 
 
-LINE = T.StructType([T.StructField("line_number", T.IntegerType()), T.StructField("line", T.StringType())])
+def per_task(key: str, sums: Callable[[pd.DataFrame], dict]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function for ``mapInPandas`` that adds up ``sums`` of each key's rows over all batches of a task.
 
+    A task holds a row a key, so there should be few keys. Rows without a key are a key too.
+    """
 
-@F.udtf(returnType=LINE, useArrow=True)
-class Lines:
-    """The lines of a text, numbered from 1."""
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: pd.DataFrame | None = None
+        for batch in batches:
+            rows = [{key: k, **sums(part)} for k, part in batch.groupby(key, dropna=False)]
+            if rows:
+                parts = pd.DataFrame(rows)
+                totals = parts if totals is None else pd.concat([totals, parts]).groupby(key, dropna=False, as_index=False).sum()
+        if totals is not None:
+            yield totals
+
+    return add_up
 
-    def eval(self, text: str) -> Iterator[tuple[int, str]]:
-        if text is not None:
-            yield from enumerate(text.split("\n"), start=1)
+
+LINE = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("line_number", T.IntegerType()), T.StructField("line", T.StringType())]
+)
+
+
+@F.arrow_udtf(returnType=LINE)
+class Lines:
+    """The lines of the texts of a table (``doc_id``, ``text``), numbered from 1. It takes whole batches."""
+
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        lines = pc.split_pattern(rows.column("text"), "\n")
+        row, counts = pc.list_parent_indices(lines), pc.list_value_length(lines).drop_null().to_numpy()
+        numbers = np.arange(1, counts.sum() + 1) - np.repeat(np.cumsum(counts) - counts, counts)
+        columns = [rows.column("doc_id").take(row), pa.array(numbers.astype(np.int32)), lines.flatten()]
+        yield pa.table(columns, names=["doc_id", "line_number", "line"])

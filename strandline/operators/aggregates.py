@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.operators.hot import dealt
+from strandline.operators.hot import GROUP, dealt, group_of, hot_groups
 from strandline.operators.scan import Wanted, find_split, scan
 
 
@@ -42,14 +40,16 @@ def exact_percentile(
     return found.select(*keys, *out)
 
 
-def blocks(
-    df: DataFrame, rows_per_block: int = 500_000, name: str = "block"
-) -> DataFrame:
-    """Deal rows to blocks, to bound what a grouped UDF is handed.
+def blocks(df: DataFrame, keys: list[str], name: str = "block") -> DataFrame:
+    """Deal the rows of hot keys to blocks, to bound what a grouped UDF is handed.
 
-    A group of a grouped UDF is held in a Python worker whole. Grouped by key and block it has about
-    ``rows_per_block`` rows at most, whatever share of the table the key has, and gives partial
-    results; adding those up is left to a built-in aggregate.
+    A group of a grouped UDF is held in a Python worker whole. Grouped by key and block it is no larger than
+    a hot group may be, and gives partial results; adding those up is left to a built-in aggregate.
+    Keys that are not hot keep one block, so many small keys stay as many groups.
     """
-    count = max(1, math.ceil(df.count() / rows_per_block))
-    return df.withColumn(name, dealt(df.columns, F.lit(count)))
+    hot = hot_groups(df, keys)
+    if hot is None:
+        return df.withColumn(name, F.lit(0))
+    marked = df.withColumn(GROUP, group_of(keys)).join(F.broadcast(hot), GROUP, "left")
+    block = F.coalesce(dealt(df, F.col("pieces")), F.lit(0))
+    return marked.withColumn(name, block).drop(GROUP, "pieces")

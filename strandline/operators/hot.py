@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 # Groups smaller than this never need splitting. Sessions may override it.
 HOT_ROWS_CONF = "spark.strandline.hotRows"
@@ -57,11 +58,21 @@ def counted_groups(df: DataFrame, keys: list[str]) -> tuple[int, DataFrame | Non
     return total, df.sparkSession.createDataFrame(found, largest.schema)
 
 
-def dealt(columns: list[str], pieces: Column) -> Column:
-    """A number below ``pieces`` for each row, to deal the rows of a group out evenly.
+def hashable(kind: DataType) -> bool:
+    """Whether Spark can hash a column of this type. Maps, and what holds them, it cannot."""
+    if isinstance(kind, StructType):
+        return all(hashable(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return hashable(kind.elementType)
+    return not isinstance(kind, (MapType, VariantType))
+
+
+def dealt(df: DataFrame, pieces: Column) -> Column:
+    """A number below ``pieces`` for each row of ``df``, to deal the rows of a group out evenly.
 
     It follows from the row and the partition it was read in, not from the order of rows or from
     chance, so a task that is run again deals its rows the same way. The partition tells copies of
     one row apart.
     """
+    columns = [F.col(f"`{f.name}`") for f in df.schema.fields if hashable(f.dataType)]
     return F.pmod(F.xxhash64(*columns, F.spark_partition_id()), pieces.cast("bigint")).cast("int")

@@ -24,7 +24,7 @@ def salted_join(
         return left.join(right, on, how)
     keys = F.broadcast(hot.select(F.col(GROUP).alias("__key"), "pieces"))
     pieces = F.col("pieces")
-    salt = F.coalesce(dealt(left.columns, pieces), F.lit(0))
+    salt = F.coalesce(dealt(left, pieces), F.lit(0))
     salts = F.when(pieces.isNotNull(), F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.lit(0)))
     left = (
         left.withColumn("__key", group_of(on))

@@ -40,16 +40,14 @@ def subtract_all(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _copies(counted: DataFrame, copies: Column) -> DataFrame:
-    """Each row as often as ``copies`` says. Rows with very many copies are made by many tasks."""
+    """Each row as often as ``copies`` says.
+
+    A row's copies are cut into chunks, and chunks are dealt to tasks by row and chunk, so rows with very
+    many copies are made by many tasks.
+    """
     rows = counted.withColumn("__n", copies).drop("__l", "__r").where("__n > 0")
-    few = rows.where(F.col("__n") <= CHUNK)
-    many = rows.where(F.col("__n") > CHUNK)
     starts = F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1, F.lit(CHUNK).cast("bigint"))
-    chunks = (
-        many.withColumn("__start", F.explode(starts))
-        .withColumn("__n", F.least(F.col("__n") - F.col("__start"), F.lit(CHUNK)))
-        .repartition("__start")
-        .drop("__start")
-    )
+    chunks = rows.withColumn("__start", F.explode(starts)).withColumn("__n", F.least(F.col("__n") - F.col("__start"), F.lit(CHUNK)))
+    spread = chunks.repartition(*(F.col(f"`{c}`") for c in chunks.columns if c != "__n"))
     copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))
-    return few.unionAll(chunks).withColumn("__copy", copy).drop("__copy", "__n")
+    return spread.withColumn("__copy", copy).drop("__copy", "__n", "__start")

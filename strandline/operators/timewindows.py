@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.operators.scan import Wanted, find_split, ntz_micros, scan
 
 
+UNITS = {"microsecond": 1, "millisecond": 1000, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86_400 * 10**6, "week": 604_800 * 10**6}
+
+
+def micros(interval: str) -> int:
+    """The length of an interval such as ``1 day 6 hours`` in microseconds."""
+    words = interval.lower().removeprefix("interval ").split()
+    pairs = list(zip(words[::2], (w.removesuffix("s") for w in words[1::2])))
+    if not pairs or len(words) % 2 or any(u not in UNITS or not n.isdigit() for n, u in pairs):
+        raise ValueError(f"{interval!r} is not a whole number of weeks, days, hours or smaller units")
+    return sum(int(n) * UNITS[u] for n, u in pairs)
+
+
 def tumbling(
     df: DataFrame, time: str, size: str, keys: list[str], aggs: list[Column]
 ) -> DataFrame:
@@ -20,11 +34,13 @@ def tumbling(
 def sliding_sums(
     df: DataFrame, time: str, size: str, slide: str, keys: list[str], sums: dict[str, Column]
 ) -> DataFrame:
-    """Sums per key and sliding window. ``size`` must be a multiple of ``slide``.
+    """Sums per key and sliding window.
 
-    Rows are first added up per slide, and only those sums are copied to the windows they are in.
+    Rows are first added up per pane, the longest span that divides both ``size`` and ``slide``, and only those
+    sums are copied to the windows they are in. Both must be of fixed length, so not months or years.
     """
-    panes = tumbling(df, time, slide, keys, [F.sum(c).alias(n) for n, c in sums.items()])
+    pane = math.gcd(micros(size), micros(slide))
+    panes = tumbling(df, time, f"{pane} microseconds", keys, [F.sum(c).alias(n) for n, c in sums.items()])
     grouped = panes.groupBy(F.window("start", size, slide).alias("__w"), *keys).agg(
         *(F.sum(n).alias(n) for n in sums)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandline.functions import exact_sum, from_units, units
 from strandline.operators import joins
@@ -23,17 +23,15 @@ SQL_NET = f"{sql_units('l_extendedprice', 2)} * (100 - {sql_units('l_discount',
         count(*) AS lines, {sql_total(SQL_NET, 4)} AS revenue
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-    WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY ALL"""
+    GROUP BY ALL"""
 )
 def join_four_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Revenue per nation and year.
 
-    Lines are added up per order and orders per customer and year before each join, so every join
-    meets one row per key however many rows a key has.
+    Lines are added up per order, orders per customer and year, and customers per nation and year before
+    each join, so every join meets one row per key, and year, however many rows a key has.
     """
-    since = F.lit("1996-01-01").cast("timestamp_ntz")
-    orders = table(spark, sf, "orders").where(F.col("o_orderdate") >= since)
-    orders = orders.select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("order_year"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("order_year"))
     per_order = (
         table(spark, sf, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
@@ -46,9 +44,13 @@ def join_four_tables(spark: SparkSession, sf: str) -> DataFrame:
     )
     customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return (
+    per_nation = (
         per_customer.join(customers, "c_custkey")
-        .join(nations, "c_nationkey")
+        .groupBy("c_nationkey", "order_year")
+        .agg(F.sum("lines").alias("lines"), F.sum("net").alias("net"))
+    )
+    return (
+        per_nation.join(nations, "c_nationkey")
         .groupBy("n_name", "order_year")
         .agg(F.sum("lines").alias("lines"), from_units(F.sum("net"), 4).alias("revenue"))
     )
@@ -87,37 +89,38 @@ def left_outer_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey, c_mktsegment, coalesce(n, 0) AS urgent_orders
-    FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT'
-        GROUP BY o_custkey) RIGHT JOIN customer ON o_custkey = c_custkey"""
+    """SELECT c_custkey, c_mktsegment, coalesce(n, 0) AS orders, coalesce(u, 0) AS urgent_orders
+    FROM (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS u
+        FROM orders GROUP BY o_custkey) RIGHT JOIN customer ON o_custkey = c_custkey"""
 )
 def right_outer_join(spark: SparkSession, sf: str) -> DataFrame:
-    urgent = (
+    counted = (
         table(spark, sf, "orders")
-        .where(F.col("o_orderpriority") == "1-URGENT")
         .groupBy(F.col("o_custkey").alias("c_custkey"))
-        .agg(F.count(F.lit(1)).alias("urgent_orders"))
+        .agg(
+            F.count(F.lit(1)).alias("orders"),
+            F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent_orders"),
+        )
     )
     customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    orders_or_none = F.coalesce("urgent_orders", F.lit(0)).alias("urgent_orders")
-    joined = urgent.join(customers, "c_custkey", "right")
-    return joined.select("c_custkey", "c_mktsegment", orders_or_none)
+    none = {"orders": 0, "urgent_orders": 0}
+    return counted.join(customers, "c_custkey", "right").na.fill(none)
 
 
 @query(
     """WITH a AS (SELECT o_custkey, count(*) AS n FROM orders
-        WHERE o_orderdate < TIMESTAMP '1995-07-01' GROUP BY o_custkey),
+        WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY o_custkey),
     b AS (SELECT o_custkey, count(*) AS n FROM orders
-        WHERE o_orderdate >= TIMESTAMP '2001-02-01' GROUP BY o_custkey)
+        WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY o_custkey)
     SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(a.n, 0) AS early,
         coalesce(b.n, 0) AS late
     FROM a FULL JOIN b ON a.o_custkey = b.o_custkey"""
 )
 def full_outer_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders per customer before a date and since. Some customers have only either."""
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate")
-    date = F.col("o_orderdate")
-    early = orders.where(date < F.lit("1995-07-01").cast("timestamp_ntz"))
-    late = orders.where(date >= F.lit("2001-02-01").cast("timestamp_ntz"))
+    date, since = F.col("o_orderdate"), F.lit("1998-01-01").cast("timestamp_ntz")
+    early, late = orders.where(date < since), orders.where(date >= since)
     one = F.lit(1)
     return (
         early.groupBy("o_custkey")
@@ -242,7 +245,8 @@ def lateral_top_orders(spark: SparkSession, sf: str) -> DataFrame:
 def correlated_subquery(spark: SparkSession, sf: str) -> DataFrame:
     """Lines far below their part's mean quantity.
 
-    Lines are first added up per part and quantity, so a part has a row per quantity it sold in.
+    Lines are first added up per part and quantity, so a part has a row per quantity it sold in. Its mean is
+    taken over those rows by a window, which a part's lines do not enter, and lines are read once.
     """
     counted = (
         table(spark, sf, "lineitem")
@@ -252,11 +256,11 @@ def correlated_subquery(spark: SparkSession, sf: str) -> DataFrame:
             exact_sum(units("l_extendedprice", 2)).alias("price"),
         )
     )
-    mean = F.sum(F.col("l_quantity") * F.col("lines")) / F.sum("lines")
-    below = counted.where(F.col("l_partkey") == F.col("o.l_partkey").outer()).select(0.2 * mean)
+    part = Window.partitionBy("l_partkey")
+    mean = F.sum(F.col("l_quantity") * F.col("lines")).over(part) / F.sum("lines").over(part)
     return (
-        counted.alias("o")
-        .where(F.col("o.l_quantity") < below.scalar())
+        counted.withColumn("mean", mean)
+        .where(F.col("l_quantity") < 0.2 * F.col("mean"))
         .groupBy("l_partkey")
         .agg(F.sum("lines").alias("small_lines"), from_units(F.sum("price"), 2).alias("small_price"))
     )

@@ -181,10 +181,16 @@ def distinct_rows(spark: SparkSession, sf: str) -> DataFrame:
     SELECT conv_id, turn, roles, chars FROM talk"""
 )
 def recursive_turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Follow each conversation turn by turn. Each round joins on conversation and turn."""
+    """Follow each conversation turn by turn. Each round joins on conversation and turn.
+
+    Texts are read once, for their lengths; the rounds join the narrow table of those.
+    """
     turns = table(spark, sf, "conversations").select(
         "conv_id", "turn", "role", F.length("text").cast("bigint").alias("n")
     )
+    folder = scratch_path(spark, "turns")
+    turns.write.parquet(folder)
+    turns = spark.read.schema(turns.schema).parquet(folder)
     start = turns.where("turn = 0").select(
         "conv_id", "turn", F.col("role").alias("roles"), F.col("n").alias("chars")
     )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline.functions import udfs
-from strandline.operators.aggregates import blocks
 from strandline.plans.registry import query
 from strandline.sources import table
 
@@ -23,26 +23,21 @@ def scalar_udf(spark: SparkSession, sf: str) -> DataFrame:
     FROM orders GROUP BY o_orderpriority"""
 )
 def grouped_map_udf(spark: SparkSession, sf: str) -> DataFrame:
-    """Price trend per priority. Python sees bounded blocks of a group; Spark adds up their sums."""
+    """Price trend per priority. Each task adds up its own rows, so a group has a row a task when its line is fitted."""
     days = F.datediff("o_orderdate", F.lit("1995-01-01").cast("date"))
     orders = table(spark, sf, "orders").select(
         "o_orderpriority", "o_orderkey", days.alias("x"), F.col("o_totalprice").alias("y")
     )
 
-    def sums(block: pd.DataFrame) -> pd.DataFrame:
-        priority = block["o_orderpriority"].iloc[0]
-        return pd.DataFrame([{"o_orderpriority": priority, **udfs.moments(block)}])
+    def line(parts: pd.DataFrame) -> pd.DataFrame:
+        n, sx, sy, sxx, sxy = (parts[c].sum() for c in ("n", "sx", "sy", "sxx", "sxy"))
+        priority = parts["o_orderpriority"].iloc[0]
+        return pd.DataFrame([{"o_orderpriority": priority, "slope": (n * sxy - sx * sy) / (n * sxx - sx * sx), "n": n}])
 
-    parts = (
-        blocks(orders)
-        .groupBy("o_orderpriority", "block")
-        .applyInPandas(sums, f"o_orderpriority string, {udfs.MOMENTS}")
-        .groupBy("o_orderpriority")
-        .agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")))
-    )
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    slope = (n * F.col("sxy") - sx * sy) / (n * F.col("sxx") - sx * sx)
-    return parts.select("o_orderpriority", F.round(slope, 5).alias("slope"), "n")
+    added = udfs.per_task("o_orderpriority", udfs.moments)
+    parts = orders.mapInPandas(added, f"o_orderpriority string, {udfs.MOMENTS}")
+    fitted = parts.groupBy("o_orderpriority").applyInPandas(line, "o_orderpriority string, slope double, n long")
+    return fitted.withColumn("slope", F.round("slope", 5))
 
 
 @query(
@@ -50,17 +45,15 @@ def grouped_map_udf(spark: SparkSession, sf: str) -> DataFrame:
     FROM lineitem GROUP BY l_returnflag"""
 )
 def aggregate_udf(spark: SparkSession, sf: str) -> DataFrame:
-    """Geometric mean. The user aggregate runs per block of a group and the blocks are weighed."""
-    line = table(spark, sf, "lineitem").select(
-        "l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice"
-    )
-    dealt = blocks(line).select("l_returnflag", "block", "l_extendedprice")
-    groups = dealt.groupBy("l_returnflag", "block")
-    logs = groups.agg(
-        udfs.mean_log("l_extendedprice").alias("mean_log"), udfs.rows("l_extendedprice").alias("n")
-    )
-    mean = F.sum(F.col("mean_log") * F.col("n")) / F.sum("n")
-    return logs.groupBy("l_returnflag").agg(F.round(F.exp(mean), 4).alias("geometric_mean"))
+    """Geometric mean. Each task adds up its own logarithms; the user aggregate weighs the tasks' sums."""
+    line = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
+
+    def logs(rows: pd.DataFrame) -> dict[str, float]:
+        return {"total": np.log(rows["l_extendedprice"]).sum(), "n": len(rows)}
+
+    parts = line.mapInPandas(udfs.per_task("l_returnflag", logs), "l_returnflag string, total double, n long")
+    means = parts.groupBy("l_returnflag").agg(udfs.weighted_mean("total", "n").alias("mean"))
+    return means.select("l_returnflag", F.round(F.exp("mean"), 4).alias("geometric_mean"))
 
 
 @query(
@@ -69,5 +62,4 @@ def aggregate_udf(spark: SparkSession, sf: str) -> DataFrame:
 )
 def table_udf(spark: SparkSession, sf: str) -> DataFrame:
     """Texts as one row per line."""
-    documents = table(spark, sf, "documents").select("doc_id", "text")
-    return documents.lateralJoin(udfs.Lines(F.col("text").outer())).drop("text")
+    return udfs.Lines(table(spark, sf, "documents").select("doc_id", "text").asTable())
