@@ -13,7 +13,7 @@ from strandline.plans.registry import query, sql_total
 from strandline.plans.timewindows import SQL_CENTS, SQL_SESSIONS
 from strandline.sources import scratch_path, table
 from strandline.streaming import operators
-from strandline.streaming.runs import run_to_files, run_to_report, stream_folder, stream_table
+from strandline.streaming.runs import run_to_files, stream_folder, stream_table
 
 
 def _value_columns():
@@ -41,10 +41,12 @@ def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     FROM events GROUP BY event_type"""
 )
 def stream_running(spark: SparkSession, sf: str) -> DataFrame:
-    """Totals per event type since the start. There are five types, however many events."""
-    events = stream_table(spark, sf, "events").select("event_type", "value")
-    totals = events.groupBy("event_type").agg(*(c.alias(n) for n, c in _value_columns().items()))
-    return run_to_report(totals, "stream-running")
+    """Totals per event type since the start: the stream writes sums of its batches, and the report adds them up."""
+    events = stream_table(spark, sf, "events").select("event_type", units("value", 2).alias("cents"))
+    sums = operators.partial_sums(events, ["event_type"], {"n": F.lit(1), "cents": F.col("cents")})
+    parts = run_to_files(sums, scratch_path(spark, "stream-running"))
+    totals = parts.groupBy("event_type").agg(F.sum("n").alias("n"), exact_sum("cents").alias("cents"))
+    return totals.select("event_type", "n", from_units("cents", 2).alias("value"))
 
 
 @query(
@@ -134,13 +136,30 @@ def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT user_id, count(*) AS n, {sql_total(SQL_CENTS, 2)} AS value
-    FROM events GROUP BY user_id"""
+    f"""WITH line AS (
+        SELECT user_id, event_id, ts, value, event_type = 'error' AS broken,
+            lag(event_type = 'error') OVER w AS after_broken, lag(ts) OVER w AS before
+        FROM events WHERE event_type IN ('purchase', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+    ), numbered AS (
+        SELECT *, sum(CASE WHEN after_broken IS NULL OR after_broken OR ts - before > INTERVAL 12 HOURS THEN 1 ELSE 0 END)
+            OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak
+        FROM line WHERE NOT broken
+    ), ended AS (
+        SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n, {sql_total(SQL_CENTS, 2)} AS value
+        FROM numbered GROUP BY user_id, streak
+    )
+    SELECT user_id, start, e."end", n, value FROM ended e
+    WHERE EXISTS (SELECT 1 FROM line l WHERE l.user_id = e.user_id AND l.ts > e."end")
+        OR e."end" + INTERVAL 12 HOURS < (SELECT max(ts) - INTERVAL 10 MINUTES FROM line)"""
 )
 def stream_keyed_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Count and value per user in state of our own. The last row per user is the current one."""
-    events = stream_table(spark, sf, "events").select("user_id", units("value", 2).alias("cents"))
-    counted = operators.running_counts(events)
-    written = run_to_files(counted, scratch_path(spark, "stream-keyed-state"))
-    latest = written.groupBy("user_id").agg(F.max(F.struct("n", "cents")).alias("latest"))
-    return latest.select("user_id", "latest.n", from_units("latest.cents", 2).alias("value"))
+    """A user's purchases in a row, without an error between them or twelve hours of waiting, in state of our own.
+
+    A streak comes out once it has ended; those still open at the end of the stream stay in state.
+    """
+    events = stream_table(spark, sf, "events").where(F.col("event_type").isin("purchase", "error"))
+    events = events.select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("broken"), units("value", 2).alias("cents"))
+    timed = operators.event_time(events, "ts", "10 minutes")
+    found = run_to_files(operators.streaks(timed, "user_id", "ts", "event_id", 12 * 3600), scratch_path(spark, "stream-keyed-state"))
+    at = lambda c: operators.unzoned(F.timestamp_micros(c))
+    return found.select("user_id", at("first_us").alias("start"), at("last_us").alias("end"), "n", from_units("cents", 2).alias("value"))

@@ -5,11 +5,13 @@ A wall-clock time is read as UTC while the stream runs and given back without zo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from strandline.operators.scan import ntz_micros
 
@@ -64,29 +66,86 @@ def interval_join(
     return left.join(right, same & near)
 
 
-COUNTED = "user_id long, n long, cents long"
+def partial_sums(stream: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Sums per key of each Arrow batch of a stream of files, without state.
 
+    Written to files, they add up to the totals since the start, whatever the number of keys; each run of the stream
+    reads new files only. Sums are over whole numbers and null where all values are.
+    """
+    narrow, names = stream.select(*keys, *(c.cast("long").alias(n) for n, c in sums.items())), list(sums)
 
-def running_counts(stream: DataFrame) -> DataFrame:
-    """Count and cents per user over the whole stream, kept in state, one row per user and batch.
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            added = pa.Table.from_batches([batch]).group_by(keys).aggregate([(n, "sum") for n in names])
+            yield from added.select([*keys, *(f"{n}_sum" for n in names)]).rename_columns([*keys, *names]).to_batches()
+
+    return narrow.mapInArrow(add_up, narrow.schema)
 
-    Each task first adds up its own rows per user, so a user with many rows sends one row per Arrow
-    batch to the task that keeps the user's state.
-    """
-    partial = stream.mapInPandas(_per_batch, COUNTED)
-    return partial.groupBy("user_id").applyInPandasWithState(
-        _keep, COUNTED, "n long, cents long", "append", GroupStateTimeout.NoTimeout
-    )
 
+Rule = Callable[[tuple | None, pd.DataFrame], tuple[list[tuple], tuple | None]]
 
-def _per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.groupby("user_id", as_index=False).agg(n=("cents", "size"), cents=("cents", "sum"))
 
+def keyed_state(
+    stream: DataFrame, keys: list[str], time: str, order: list[str], rule: Rule, close: Callable[[tuple], list[tuple]], state: str, output: str, silence_ms: int
+) -> DataFrame:
+    """A rule of the caller's that reads each key's rows in order and keeps state between batches.
+
+    ``rule`` gets the key's state (None at first) and its new rows of a batch, sorted by ``order``, and gives rows to put out and
+    the state to keep (None for none). A key that has been silent for ``silence_ms`` of event time, as the
+    watermark tells, is handed to ``close`` for its last rows and forgotten. ``time`` is an instant with a watermark; rows later than
+    that are dropped. ``state`` and ``output`` are schemas; the rows put out follow the keys.
 
-def _keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, cents = state.get if state.exists else (0, 0)
-    for batch in batches:
-        n, cents = n + int(batch["n"].sum()), cents + int(batch["cents"].sum())
-    state.update((n, cents))
-    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "cents": [cents]})
+    A key's rows of one batch are sorted in one worker, so bound what a batch takes in.
+    """
+    instant = "__ms"
+    # The earliest and the latest row of a state are not the rule's business, so the time to forget it is kept beside it.
+    held = f"{state}, {instant} long"
+    kinds = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys)
+    timed = stream.withColumn(instant, F.unix_millis(time))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            found = close(tuple(group.get)[:-1])
+            group.remove()
+        else:
+            rows = pd.concat(list(frames)).sort_values(order)
+            before = tuple(group.get) if group.exists else None
+            found, kept = rule(before[:-1] if before else None, rows)
+            last = max(int(rows[instant].max()), before[-1] if before else 0)
+            if kept is None:
+                if group.exists:
+                    group.remove()
+            else:
+                group.update((*kept, last))
+                group.setTimeoutTimestamp(max(last + silence_ms, group.getCurrentWatermarkMs() + 1))
+        if found:
+            yield pd.DataFrame([(*key, *row) for row in found], columns=names)
+
+    schema = f"{kinds}, {output}"
+    names = [*keys, *StructType.fromDDL(output).names]
+    return timed.groupBy(*keys).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+STREAK = "first_us long, last_us long, n long, cents long"
+
+
+def streaks(stream: DataFrame, key: str, time: str, id: str, gap_seconds: int) -> DataFrame:
+    """Runs of a key's rows that are not ``broken``, in time order, with no gap over ``gap_seconds`` between neighbours.
+
+    A streak is put out when a broken row, a gap or the watermark ends it: ``first_us`` and ``last_us`` (microseconds
+    since 1970), ``n`` and the sum of ``cents``.
+    """
+    gap = gap_seconds * 1_000_000
+
+    def rule(state: tuple | None, rows: pd.DataFrame) -> tuple[list[tuple], tuple | None]:
+        ended = []
+        for us, broken, cents in zip(rows["__us"].tolist(), rows["broken"].tolist(), rows["cents"].tolist()):
+            if state is not None and (broken or us - state[1] > gap):
+                ended.append(state)
+                state = None
+            if not broken:
+                state = (us, us, 1, cents) if state is None else (state[0], us, state[2] + 1, state[3] + cents)
+        return ended, state
+
+    rows = stream.withColumn("__us", F.unix_micros(time))
+    return keyed_state(rows, [key], time, ["__us", id], rule, lambda state: [state], STREAK, STREAK, gap_seconds * 1000)

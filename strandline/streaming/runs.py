@@ -7,7 +7,6 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from strandline.sources.scratch import scratch_path
 
 STREAM_SETTINGS = {
     # State on local disk with changes kept in the checkpoint, so it may outgrow executor memory.
@@ -75,24 +74,3 @@ def run_to_files(stream: DataFrame, folder: str) -> DataFrame:
         )
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
-
-
-def run_to_report(stream: DataFrame, name: str) -> DataFrame:
-    """Run an aggregate in complete mode and give its last result as a table in memory.
-
-    Only for reports whose size does not grow with the data: the result is held by the driver.
-    """
-    spark = stream.sparkSession
-    folder = scratch_path(spark, name)
-    table = folder.rsplit("/", 1)[1].replace("-", "_")
-    with stream_settings(spark):
-        run = (
-            stream.writeStream.outputMode("complete")
-            .format("memory")
-            .queryName(table)
-            .option("checkpointLocation", f"{folder}/progress")
-            .trigger(availableNow=True)
-            .start()
-        )
-    run.awaitTermination()
-    return spark.table(table)

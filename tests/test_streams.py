@@ -49,21 +49,57 @@ def test_windows_over_many_batches(spark, arrivals):
     assert found == closed
 
 
-def test_keyed_state_outlives_a_restart(spark):
-    """State and progress are found again by a second run, and no file is counted twice."""
-    events = table(spark, SF_DIR, "events").select("user_id", F.lit(1).cast("bigint").alias("cents"))
+def test_sums_go_on_after_a_restart(spark):
+    """Progress is found again by a second run, and no file is counted twice."""
+    events = table(spark, SF_DIR, "events").select("user_id", "event_id")
     folder = scratch_path(spark, "test-restart")
     arriving = f"{folder}/arrivals"
     totals = []
     for _ in range(2):
         events.write.mode("append").parquet(arriving)
-        counted = operators.running_counts(stream_folder(spark, arriving, events.schema))
-        written = run_to_files(counted, folder)
-        latest = written.groupBy("user_id").agg(F.max("n").alias("n"))
-        totals.append(latest.agg(F.sum("n")).first()[0])
+        sums = operators.partial_sums(stream_folder(spark, arriving, events.schema), ["user_id"], {"n": F.lit(1)})
+        written = run_to_files(sums, folder)
+        totals.append(written.agg(F.sum("n")).first()[0])
+        assert written.count() < 2 * events.count()
     assert totals == [events.count(), 2 * events.count()]
 
 
+def _streaks(spark, folder, arriving, schema):
+    timed = operators.event_time(stream_folder(spark, arriving, schema), "ts", "10 minutes")
+    found = run_to_files(operators.streaks(timed, "k", "ts", "id", 3600), folder)
+    return sorted((r["k"], r["n"], r["cents"]) for r in found.collect())
+
+
+def test_state_outlives_a_restart_and_silence_ends_it(spark):
+    folder = scratch_path(spark, "test-state")
+    arriving = f"{folder}/arrivals"
+    day = datetime.datetime(2024, 1, 1)
+
+    def arrive(*rows):
+        data = [(i, k, day + datetime.timedelta(minutes=m), broken, 1 << i) for i, k, m, broken in rows]
+        df = spark.createDataFrame(data, "id long, k string, ts timestamp_ntz, broken boolean, cents long")
+        df.coalesce(1).write.mode("append").parquet(arriving)
+        return _streaks(spark, folder, arriving, df.schema)
+
+    # Out of order within a batch; b is broken at once, a goes on in the next run, c falls silent.
+    assert arrive((2, "a", 20, False), (1, "a", 10, False), (3, "b", 0, True), (4, "c", 5, False)) == []
+    assert arrive((5, "a", 40, False), (6, "b", 41, False), (7, "b", 42, True)) == [("b", 1, 1 << 6)]
+    found = arrive((8, "a", 100 + 45, False))
+    assert ("a", 3, (1 << 1) + (1 << 2) + (1 << 5)) in found and ("c", 1, 1 << 4) in found
+    assert len(found) == 3
+
+
+def test_copies_in_a_later_batch_are_dropped(spark):
+    """The copies come in files of their own, so what was let through is found in state."""
+    events = table(spark, SF_DIR, "events").select("event_id", "ts").where("event_id < 200")
+    folder = scratch_path(spark, "test-copies")
+    for _ in range(2):
+        events.coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
+    stream = stream_folder(spark, f"{folder}/arrivals", events.schema, files_per_batch=1)
+    single = operators.event_time(stream, "ts", "60 days").dropDuplicatesWithinWatermark(["event_id"])
+    assert run_to_files(single, folder).count() == events.count()
+
+
 def test_settings_are_put_back(spark, arrivals):
     before = {key: spark.conf.get(key, None) for key in STREAM_SETTINGS}
     run_to_files(_stream(spark, arrivals).select("event_id"), scratch_path(spark, "test-settings"))
