@@ -20,7 +20,7 @@ SHINGLE = 4
 SEED = 42
 PART = 1024  # fingerprints of one bucket that are compared with one another at once
 ENTRIES = 1 << 17  # comparisons of a fingerprint with 64 others held at once
-FULL = 32  # a bucket should hold no more fingerprints than this on average
+FULL = 256  # a bucket should hold no more fingerprints than this on average: four lanes
 
 _ALL = np.uint64(2**64 - 1)
 
