@@ -14,6 +14,9 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantT
 # Groups smaller than this never need splitting. Sessions may override it.
 HOT_ROWS_CONF = "spark.strandline.hotRows"
 HOT_ROWS_DEFAULT = 1_000_000
+# Groups larger than this are always split, however large an average partition is. Sessions may override it.
+HOT_ROWS_MOST_CONF = "spark.strandline.hotRowsMost"
+HOT_ROWS_MOST_DEFAULT = 10_000_000
 
 GROUP = "__group"
 
@@ -26,6 +29,12 @@ def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
 
 
+def hot_floor(df: DataFrame, total: int) -> int:
+    """The number of rows above which a group of a table of ``total`` rows is hot."""
+    most = int(df.sparkSession.conf.get(HOT_ROWS_MOST_CONF, str(HOT_ROWS_MOST_DEFAULT)))
+    return max(hot_rows(df), min(most, math.ceil(total / shuffle_partitions(df))))
+
+
 def group_of(keys: list[str]) -> Column:
     """The group key as one struct. Structs compare nulls as equal, so a null key is a group too."""
     return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
@@ -39,14 +48,14 @@ def hot_groups(df: DataFrame, keys: list[str]) -> DataFrame | None:
 def counted_groups(df: DataFrame, keys: list[str]) -> tuple[int, DataFrame | None]:
     """The number of rows, and the groups of ``df`` that outgrow an average shuffle partition, or None.
 
-    Fewer groups than there are shuffle partitions can be that large, so the answer may be held by
-    the driver and broadcast whatever the size of the data. Each row has the group as ``__group``
-    and, as ``pieces``, how many average partitions it fills; the pieces of all groups together are
-    at most twice the shuffle partitions. Only the key columns are scanned, and counted before the
+    A group is also hot above ``hotRowsMost`` rows. No more groups can be hot than there are shuffle partitions,
+    or than the rows have such shares, so the answer may be held by the driver and broadcast: at most
+    100,000 rows for a table of 10**12. Each row has the group as ``__group`` and, as ``pieces``, how many
+    such shares it fills; the pieces of all groups together are at most twice the shares. Only the key columns are scanned, and counted before the
     shuffle.
     """
     total = df.count()
-    floor = max(hot_rows(df), math.ceil(total / shuffle_partitions(df)))
+    floor = hot_floor(df, total)
     if total <= floor:
         return total, None
     sizes = df.groupBy(group_of(keys).alias(GROUP)).agg(F.count(F.lit(1)).alias("rows"))

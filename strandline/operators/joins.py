@@ -53,7 +53,8 @@ def range_join(
 
     Times are cut into buckets ``seconds`` long. A left row can only meet right rows of its own
     bucket or the next, so it is sent to both and right rows go to one. The bucket is part of the
-    join key, so a hot key is spread over its time range.
+    join key, so a hot key is spread over its time range. A bucket that is hot by itself has its left rows
+    dealt over several tasks.
     """
     span = seconds * 1_000_000
     left = left.withColumn("__from", ntz_micros(F.col(left_time)))
@@ -61,7 +62,7 @@ def range_join(
     bucket = F.floor(F.col("__from") / span)
     left = left.withColumn("__bucket", F.explode(F.array(bucket, bucket + 1)))
     right = right.withColumn("__bucket", F.floor(F.col("__at") / span))
-    pairs = left.join(right, [*keys, "__bucket"])
+    pairs = salted_join(left, right, [*keys, "__bucket"])
     after = F.col("__at") - F.col("__from")
     return pairs.where((after >= 0) & (after <= span)).drop("__bucket", "__from", "__at")
 
@@ -126,38 +127,42 @@ def interval_totals(
     off at both ends of the interval and subtracted. The sums should be over whole numbers or
     decimals, since subtracting running floating point totals loses digits. Gives the keys, the
     left id and the sums.
+
+    Rows of a key with one time are added up first, and left rows with one time ask once, so that a time that
+    many rows share is one row of the scan. The answers are joined back with the rows of such a time dealt out.
     """
     names = list(sums)
+    at = "__left_at"
+    asked = left.select(*keys, left_id, ntz_micros(F.col(left_time)).alias(at))
     zero = {n: F.lit(0).cast(right.select(c.alias(n)).schema[n].dataType) for n, c in sums.items()}
-    no_id = F.lit(None).cast(left.schema[left_id].dataType)
-    rows = right.select(
-        *keys,
-        ntz_micros(F.col(right_time)).alias("__at"),
-        F.lit(1).alias("__side"),
-        no_id.alias("__id"),
-        *(c.alias(n) for n, c in sums.items()),
+    kinds = {n: right.select(c.alias(n)).schema[n].dataType for n, c in sums.items()}
+    rows = (
+        right.select(*keys, ntz_micros(F.col(right_time)).alias("__at"), *(c.alias(n) for n, c in sums.items()))
+        .groupBy(*keys, "__at")
+        .agg(*(F.sum(n).cast(kinds[n]).alias(n) for n in names))
+        .select(*keys, "__at", F.lit(1).alias("__side"), F.lit(None).cast("bigint").alias(at), *names)
     )
     ends = F.explode(F.array(F.lit(0), F.lit(2)))
-    probes = left.select(*keys, left_time, F.col(left_id).alias("__id"), ends.alias("__side"))
-    at = ntz_micros(F.col(left_time))
+    probes = asked.select(*keys, at).distinct().select(*keys, at, ends.alias("__side"))
     probes = probes.select(
         *keys,
-        F.when(F.col("__side") == 0, at - seconds * 1_000_000).otherwise(at).alias("__at"),
+        F.when(F.col("__side") == 0, F.col(at) - seconds * 1_000_000).otherwise(F.col(at)).alias("__at"),
         "__side",
-        "__id",
+        at,
         *(zero[n].alias(n) for n in names),
     )
     wanted = Wanted(sums={f"__{n}": F.coalesce(F.col(n), zero[n]) for n in names})
     # Hot keys and cut points show in the rows themselves, without the two ends of each interval.
-    plain = rows.select(*keys, "__at").unionAll(left.select(*keys, at.alias("__at")))
+    plain = rows.select(*keys, "__at").unionAll(asked.select(*keys, F.col(at).alias("__at")).distinct())
     split = find_split(plain, keys, ["__at"])
     totals = scan(rows.unionAll(probes), keys, ["__at", "__side"], wanted, split)
     sign = F.when(F.col("__side") == 2, F.lit(1)).otherwise(F.lit(-1))
-    return (
+    answers = (
         totals.where(F.col("__side") != 1)
-        .groupBy(*keys, F.col("__id").alias(left_id))
+        .groupBy(F.struct(*keys, at).alias(GROUP))
         .agg(*(F.sum(sign * F.col(f"__{n}")).alias(n) for n in names))
     )
+    return salted_join(asked.withColumn(GROUP, F.struct(*keys, at)), answers, [GROUP]).select(*keys, left_id, *names)
 
 
 def best_per_key(

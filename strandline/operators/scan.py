@@ -22,6 +22,9 @@ QUANTILES = 64
 # Cut points are taken from about this many rows.
 SAMPLE_ROWS = 500_000
 
+# Cut points of a text column are taken from about this many values, cut to this length.
+TEXT_SAMPLE, TEXT_LENGTH = 4_000, 100
+
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 FLOATS = ("float", "double")
 FIND = "find"
@@ -75,14 +78,22 @@ class Split:
 def find_split(df: DataFrame, keys: list[str], order: list[str]) -> Split | None:
     """How to split ``df`` for a scan with these keys and this order; None where no group is hot.
 
+    Without keys the table is one group and is always split. An order that cannot be cut is refused whatever
+    the size of ``df``.
+
     Reads the key and order columns of ``df`` only, and takes the cut points from a sample where it
     is large: they set how even the pieces are, not what comes out. A split may be used for any table
     with the same keys and order columns, so it can be found in a plain table and used for what is
     derived from it.
     """
-    total, hot = counted_groups(df, keys)
-    if hot is None:
-        return None
+    for name in order[:1]:
+        _number(df, name)
+    if keys:
+        total, hot = counted_groups(df, keys)
+        if hot is None:
+            return None
+    else:
+        total, hot = df.count(), None
     sample = df if total <= SAMPLE_ROWS else df.sample(SAMPLE_ROWS / total, seed=1)
     if not keys:
         return Split(None, _cut_points(sample, order))
@@ -101,8 +112,8 @@ def scan(
 ) -> DataFrame:
     """Add the wanted columns to every row of ``df``.
 
-    ``order`` must order the rows of a group fully, and its first column must be a number, date or
-    timestamp. With ``keep`` the segments of a split table stay in it as columns, and a further scan
+    ``order`` must order the rows of a group fully, and its first column must be a number, date,
+    timestamp, boolean or text. With ``keep`` the segments of a split table stay in it as columns, and a further scan
     in the same order works on them without another shuffle; ``drop_segments`` takes them out.
     """
     if split is FIND:
@@ -233,7 +244,12 @@ def _cut_points(rows: DataFrame, order: list[str]) -> Cuts:
         F.count_if("nan").alias("nans"),
         F.count_if(F.col("x").isNull() & ~F.col("nan")).alias("nulls"),
     ).first()
-    points = sorted({found["low"], *(found["points"] or ()), found["high"]} - {None}) or [0]
+    if dict(rows.dtypes)[order[0]] == "string":
+        shares = _text_quantiles(rows, order[0], quantiles)
+        points = sorted(set(shares), key=str.encode) or [""]
+        found = found.asDict() | {"points": shares, "nulls": found["nulls"]}
+    else:
+        points = sorted({found["low"], *(found["points"] or ()), found["high"]} - {None}) or [0]
     steps = math.ceil(pieces / quantiles)
     # A value that is several quantiles at once holds as many shares of the rows.
     tie_steps = [steps * max(1, (found["points"] or []).count(p)) for p in points]
@@ -242,6 +258,14 @@ def _cut_points(rows: DataFrame, order: list[str]) -> Cuts:
     return Cuts(points, found["tie_low"], found["tie_high"], steps, tie_steps)
 
 
+def _text_quantiles(rows: DataFrame, name: str, quantiles: int) -> list[str]:
+    """Texts that cut a column into about equal parts, from a sample. A text may come several times."""
+    text = F.substring(F.col(f"`{name}`"), 1, TEXT_LENGTH).alias("x")
+    drawn = rows.where(F.col(f"`{name}`").isNotNull()).select(text).orderBy(F.rand(1)).limit(TEXT_SAMPLE).collect()
+    values = sorted((r["x"] for r in drawn), key=str.encode)
+    return [values[len(values) * n // quantiles] for n in range(1, quantiles)] if values else []
+
+
 def _with_segment(df: DataFrame, order: list[str], cuts: Cuts) -> DataFrame:
     """Number the segments of hot rows so that the number never falls along the order.
 
@@ -256,15 +280,17 @@ def _with_segment(df: DataFrame, order: list[str], cuts: Cuts) -> DataFrame:
     x, cell, low, nan = (F.col(c) for c in ("__x", "__cell", "__low", "__nan"))
     tied = nan | x.isNull() | (x == low)
     tie_step = _step(
-        F.col("__tie"),
-        F.lit(cuts.tie_low),
-        F.lit(cuts.tie_high),
+        F.col("__tie").cast("double"),
+        F.lit(cuts.tie_low).cast("double"),
+        F.lit(cuts.tie_high).cast("double"),
         F.element_at(
             tie_steps,
             F.when(nan, count + 1).when(x.isNull(), count + 2).otherwise(F.greatest(cell, F.lit(1))),
         ),
     )
-    step = F.when(tied, tie_step).otherwise(_step(x, low, F.col("__high"), F.lit(cuts.steps)))
+    number = _text_number if isinstance(cuts.points[0], str) else lambda c: c.cast("double")
+    between = _step(number(x), number(low), number(F.col("__high")), F.lit(cuts.steps))
+    step = F.when(tied, tie_step).otherwise(between)
     place = (
         F.when(nan, 2 * (count + 1))
         .when(x.isNull(), 0)
@@ -274,7 +300,7 @@ def _with_segment(df: DataFrame, order: list[str], cuts: Cuts) -> DataFrame:
     return (
         df.withColumns(
             {
-                "__x": _number(df, order[0]),
+                "__x": F.col(f"`{order[0]}`") if dict(df.dtypes)[order[0]] == "string" else _number(df, order[0]),
                 "__nan": _not_a_number(df, order[0]),
                 "__tie": _tie(df, order),
             }
@@ -306,7 +332,6 @@ def _count_at_most(x: Column, cuts: list, start: int, end: int) -> Column:
 
 
 def _step(x: Column, low: Column, high: Column, steps: Column) -> Column:
-    x, low, high = x.cast("double"), low.cast("double"), high.cast("double")
     share = F.when(high > low, (x - low) / (high - low)).otherwise(0.0)
     inside = F.when((share > 0) & (share < 1), F.floor(share * steps)).when(share >= 1, steps - 1)
     return F.least(F.coalesce(inside, F.lit(0)), steps - 1).cast("bigint")
@@ -315,12 +340,12 @@ def _step(x: Column, low: Column, high: Column, steps: Column) -> Column:
 def _splits_ties(df: DataFrame, order: list[str]) -> bool:
     """Whether rows equal in the number of the first column are equal in the column itself."""
     types = dict(df.dtypes)
-    exact = types[order[0]] in (*INTEGERS, *FLOATS, "date", "timestamp", "timestamp_ntz")
+    exact = types[order[0]] in (*INTEGERS, *FLOATS, "date", "timestamp", "timestamp_ntz", "string", "boolean")
     return exact and _is_number(types[order[1]])
 
 
 def _is_number(dtype: str) -> bool:
-    return dtype in (*INTEGERS, *FLOATS, "date", "timestamp", "timestamp_ntz") or dtype.startswith(
+    return dtype in (*INTEGERS, *FLOATS, "date", "timestamp", "timestamp_ntz", "boolean", "string") or dtype.startswith(
         "decimal"
     )
 
@@ -340,7 +365,17 @@ def _number(df: DataFrame, name: str) -> Column:
         return F.when(~F.isnan(c), c.cast("double"))
     if dtype.startswith("decimal"):
         return c.cast("double")
-    raise ValueError(f"cannot cut groups along {name}: {dtype} is not a number, date or timestamp")
+    if dtype == "boolean":
+        return c.cast("bigint")
+    if dtype == "string":
+        return _text_number(c)
+    raise ValueError(f"cannot cut groups along {name}: {dtype} is not a number, date, timestamp, boolean or text")
+
+
+def _text_number(c: Column) -> Column:
+    """The first six bytes of a text as a number that never falls along the order of texts."""
+    head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
+    return F.conv(head, 16, 10).cast("double")
 
 
 def _not_a_number(df: DataFrame, name: str) -> Column:

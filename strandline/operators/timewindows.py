@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.operators.scan import Wanted, find_split, ntz_micros, scan
+from strandline.sources.scratch import written
 
 
 UNITS = {"microsecond": 1, "millisecond": 1000, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86_400 * 10**6, "week": 604_800 * 10**6}
@@ -61,6 +62,8 @@ def session_starts(
     split = find_split(df, keys, order)
     wanted = Wanted(lags={"__previous": F.col(time)})
     with_previous = scan(df, keys, order, wanted, split, keep=True)
+    if split is not None:  # the next scan reads its rows twice
+        with_previous = written(with_previous, "sessions")
     since = ntz_micros(F.col(time)) - ntz_micros(F.col("__previous"))
     opens = F.col("__previous").isNull() | (since > gap_seconds * 1_000_000)
     marked = with_previous.withColumn("__opens", F.when(opens, F.col(time)))

@@ -10,10 +10,23 @@ from pyspark.sql import functions as F
 from strandline.operators import joins, sets
 from strandline.operators.aggregates import blocks, exact_percentile
 from strandline.operators.recursion import recurse
-from strandline.operators.timewindows import session_starts
+from strandline.operators.hot import HOT_ROWS_CONF
+from strandline.operators.timewindows import session_starts, sliding_sums
 from tests.skewed import rows_of, skewed
 
 
+@pytest.fixture
+def as_dealt(spark):
+    """Leave shuffles as they are, so that a test can see how rows are dealt."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     return skewed(spark, 1500).cache()
@@ -174,3 +187,65 @@ def test_sessions(rows, split_groups):
                 opened = t
             expected[i], previous = opened, t
     assert {r["id"]: r["opened"] for r in got.collect()} == expected
+
+
+def test_recursion_in_a_circle_ends_with_an_error(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1)], "a int, b int")
+    start = spark.createDataFrame([(1,)], "node int")
+    with pytest.raises(RuntimeError, match="cycle"):
+        recurse(start, lambda r: r.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")), most_rounds=3)
+
+
+def test_recursion_of_nothing(spark):
+    start = spark.createDataFrame([], "node int")
+    assert recurse(start, lambda r: r).collect() == []
+
+
+@pytest.mark.parametrize("size, slide", [("5 hours", "2 hours"), ("1 day", "6 hours"), ("90 minutes", "1 hour"), ("1 hour 30 minutes", "1 hour")])
+def test_sliding_sums(rows, size, slide):
+    got = sliding_sums(rows, "ts", size, slide, ["k"], {"n": F.lit(1).cast("bigint")})
+    expected = rows.groupBy(F.window("ts", size, slide).alias("w"), "k").agg(F.count(F.lit(1)).alias("n"))
+    expected = expected.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "k", "n")
+    assert rows_of(got, "start", "end", "k", "n") == rows_of(expected, "start", "end", "k", "n")
+
+
+def test_sliding_sums_refuse_months(rows):
+    with pytest.raises(ValueError):
+        sliding_sums(rows, "ts", "2 months", "1 month", ["k"], {})
+
+
+def test_joins_keep_maps_on_small_and_large_keys(spark, rows):
+    left = rows.select("id", "k", F.create_map("id", "v").alias("m"))
+    right = spark.createDataFrame([(7, "a"), (1, "b")], "k bigint, label string")
+    found = []
+    for threshold in ("1", "1000000"):
+        spark.conf.set(HOT_ROWS_CONF, threshold)
+        found.append(rows_of(joins.salted_join(left, right, ["k"]), "id", "k", "m", "label"))
+    spark.conf.unset(HOT_ROWS_CONF)
+    assert found[0] == found[1]
+
+
+def test_a_crowded_bucket_is_dealt_out(spark, split_groups, as_dealt):
+    """All rows of both sides fall into one bucket of one key."""
+    base = spark.range(600).repartition(20).select(F.lit(1).alias("k"), "id", F.timestamp_seconds(F.lit(7200) + F.col("id") / 1000).cast("timestamp_ntz").alias("t"))
+    left, right = base.select("k", F.col("id").alias("a"), F.col("t").alias("at")), base.select("k", F.col("id").alias("b"), F.col("t").alias("bt"))
+    pairs = joins.range_join(left, right, ["k"], "at", "bt", 3600)
+    parts = pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 600 * 601 // 2
+    # The bucket is dealt to four pieces, of which chance may send two to one task.
+    assert len(parts) >= 2 and max(r["count"] for r in parts) < 0.6 * 600 * 601 // 2
+
+
+def test_copies_of_large_rows_are_dealt_out(spark, monkeypatch, as_dealt):
+    monkeypatch.setattr(sets, "CHUNK", 100)
+    many = spark.range(8).select("id").crossJoin(spark.range(2000).select(F.lit(0).alias("z"))).select("id")
+    kept = sets.subtract_all(many, spark.range(1).select("id"))
+    parts = kept.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 15_999 and max(r["count"] for r in parts) < 2 * 15_999 / 8
+
+
+def test_money_with_more_decimals_is_refused(spark):
+    from strandline.functions import units
+
+    with pytest.raises(Exception, match="decimal places"):
+        spark.createDataFrame([(1.005,)], "x double").select(units("x", 2)).collect()

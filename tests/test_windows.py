@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from strandline.operators import windows
-from strandline.operators.hot import hot_groups
+from strandline.operators.hot import HOT_ROWS_CONF, HOT_ROWS_MOST_CONF, hot_groups
 from strandline.operators.scan import Wanted, find_split, scan
 from tests.skewed import rows_of, skewed
 
@@ -98,3 +98,68 @@ def test_segments_of_hot_groups_are_small(rows, split_groups):
     largest = sizes.where("__segment >= 0").agg(F.max("count")).first()[0]
     assert rows.where("x = 5").count() > rows.count() / 3
     assert largest < rows.count() / 10
+
+
+@pytest.mark.parametrize("order", [["name", "id"], ["flag", "id"], ["name", "x"]])
+def test_text_and_boolean_orders_on_small_and_large_groups(rows, spark, order):
+    """The same call gives the same rows with whole groups and with split ones."""
+    given = rows.withColumn("flag", F.col("v") > 500).withColumn("m", F.create_map("id", "k"))
+    given = given.withColumn("name", F.when(F.col("id") % 50 == 0, None).otherwise(F.concat("name", (F.col("id") % 300).cast("string"))))
+    order = order if order[-1] == "id" else [*order, "id"]
+    found = []
+    for threshold in ("1", "1000000"):
+        spark.conf.set(HOT_ROWS_CONF, threshold)
+        numbered = windows.row_numbers(given, ["k"], order, "nth")
+        found.append(rows_of(windows.row_numbers(numbered.drop("m"), [], order, "place"), "id", "nth", "place"))
+        assert "m" in numbered.columns
+    spark.conf.unset(HOT_ROWS_CONF)
+    w = Window.partitionBy("k").orderBy(*order)
+    expected = given.select("id", F.row_number().over(w).alias("nth"), F.row_number().over(Window.orderBy(*order)).alias("place"))
+    assert found[0] == found[1] == rows_of(expected, "id", "nth", "place")
+
+
+def test_text_ranks_on_small_and_large_groups(rows, spark):
+    found = []
+    for threshold in ("1", "1000000"):
+        spark.conf.set(HOT_ROWS_CONF, threshold)
+        found.append(rows_of(windows.peer_ranks(rows, ["k"], "name"), "id", "rank", "dense_rank", "percent_rank", "cume_dist"))
+    spark.conf.unset(HOT_ROWS_CONF)
+    assert found[0] == found[1]
+
+
+def test_orders_that_cannot_be_cut_are_refused_at_any_size(rows):
+    with pytest.raises(ValueError, match="cannot cut groups"):
+        windows.row_numbers(rows.withColumn("s", F.struct("x")), ["k"], ["s", "id"], "nth")
+
+
+def test_hot_threshold_has_a_ceiling(rows, spark):
+    spark.conf.set(HOT_ROWS_CONF, "1")
+    spark.conf.set(HOT_ROWS_MOST_CONF, "20")
+    try:
+        assert hot_groups(rows, ["k"]).count() > 8
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+        spark.conf.unset(HOT_ROWS_MOST_CONF)
+
+
+def test_numbering_a_table_sends_no_rows_to_a_single_task(spark, rows):
+    """Only the segments' sums, of which there is a bounded number, meet in one task."""
+    plan = windows.row_numbers(rows, [], ["ts", "id"], "place")._jdf.queryExecution().executedPlan().toString().splitlines()
+    single = [n for n, line in enumerate(plan) if "Exchange SinglePartition" in line]
+    assert all("HashAggregate" in plan[n + 1] and "__segment" in plan[n + 1] for n in single)
+    assert len(single) == 1 and sum("Window " in line or "Window [" in line for line in plan) >= 2
+
+
+def test_a_crowded_time_is_one_row_of_the_scan(spark, split_groups, monkeypatch):
+    """Four rows of five have one time. What the scan gets is cut evenly all the same."""
+    from strandline.operators import joins
+
+    crowded = spark.range(20_000).select(
+        "id", (F.col("id") % 2).alias("k"), F.timestamp_seconds(F.when(F.col("id") % 5 > 0, 86_400).otherwise(F.col("id"))).cast("timestamp_ntz").alias("ts")
+    )
+    scanned = []
+    monkeypatch.setattr(joins, "scan", lambda df, *a, **k: (scanned.append(df.count()), scan(df, *a, **k))[1])
+    got = windows.moving_range_sums(crowded, ["k"], "ts", "id", 60, {"n": F.lit(1).cast("bigint")})
+    assert got.where("id = 1").first()["n"] == 8_000
+    assert got.count() == 20_000
+    assert scanned[0] < 16_000
