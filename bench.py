@@ -1,6 +1,7 @@
 """Times every query at one scale and prints one line of JSON.
 
-Settings: BENCH_SF_DIR (table folder), BENCH_CPUS (local cores), BENCH_QUERIES (names, comma-separated).
+Settings: BENCH_SF_DIR (table folder), BENCH_CPUS (local cores), BENCH_QUERIES (names, comma-separated),
+BENCH_HOT_ROWS (rows above which a group may be hot; 1 times the split plans).
 A query is run whole and its rows are thrown away by the no-op writer, so no column is pruned.
 """
 
@@ -10,6 +11,7 @@ import json
 import os
 import time
 
+from strandline.operators.hot import HOT_ROWS_CONF
 from strandline.plans import REGISTRY
 from strandline.session import local_session
 
@@ -25,6 +27,8 @@ def main() -> None:
     cores = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or list(REGISTRY)
     spark = local_session(cores, "bench")
+    if hot_rows := os.environ.get("BENCH_HOT_ROWS"):
+        spark.conf.set(HOT_ROWS_CONF, hot_rows)
     run(spark, REGISTRY["pricing_summary"].build, sf_dir)
     times = {name: round(run(spark, REGISTRY[name].build, sf_dir), 3) for name in names}
     line = {

@@ -20,6 +20,11 @@ HOT_ROWS_MOST_DEFAULT = 10_000_000
 
 GROUP = "__group"
 
+# The sketch of frequent keys tracks so many of them; its error is at most this multiple of the rows over that number.
+LEAST_TRACKED, MOST_TRACKED = 10_000, 1_000_000
+TRACKED_PER_SHARE = 16
+SKETCH_ERROR = 4.7
+
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -51,14 +56,29 @@ def counted_groups(df: DataFrame, keys: list[str]) -> tuple[int, DataFrame | Non
     A group is also hot above ``hotRowsMost`` rows. No more groups can be hot than there are shuffle partitions,
     or than the rows have such shares, so the answer may be held by the driver and broadcast: at most
     100,000 rows for a table of 10**12. Each row has the group as ``__group`` and, as ``pieces``, how many
-    such shares it fills; the pieces of all groups together are at most twice the shares. Only the key columns are scanned, and counted before the
-    shuffle.
+    such shares it fills; the pieces of all groups together are at most twice the shares.
+
+    One pass over the key columns counts the rows and sketches the most frequent hashes of keys, in bounded memory a
+    task and without a shuffle of the keys; the sketch is off by less than a third of a share. A second pass
+    counts the few groups that may be hot.
     """
-    total = df.count()
-    floor = hot_floor(df, total)
-    if total <= floor:
+    group, floor, tracked = group_of(keys), 0, max(LEAST_TRACKED, TRACKED_PER_SHARE * shuffle_partitions(df))
+    while True:
+        tracked = min(tracked, MOST_TRACKED)
+        top = F.expr(f"approx_top_k(hash, {tracked // TRACKED_PER_SHARE}, {tracked})").alias("top")
+        found = df.select(F.xxhash64(group).alias("hash")).agg(F.count(F.lit(1)).alias("rows"), top).first()
+        total = found["rows"]
+        floor = hot_floor(df, total)
+        if total <= floor:
+            return total, None
+        needed = min(MOST_TRACKED, TRACKED_PER_SHARE * math.ceil(total / floor))
+        if tracked >= needed:
+            break
+        tracked = needed
+    likely = [t["item"] for t in found["top"] if t["count"] > floor - SKETCH_ERROR * total / tracked]
+    if not likely:
         return total, None
-    sizes = df.groupBy(group_of(keys).alias(GROUP)).agg(F.count(F.lit(1)).alias("rows"))
+    sizes = df.select(group.alias(GROUP)).where(F.xxhash64(GROUP).isin(likely)).groupBy(GROUP).agg(F.count(F.lit(1)).alias("rows"))
     pieces = F.ceil(F.col("rows") / floor).cast("int").alias("pieces")
     largest = sizes.where(F.col("rows") > F.lit(floor)).select(GROUP, pieces)
     found = largest.collect()

@@ -163,3 +163,12 @@ def test_a_crowded_time_is_one_row_of_the_scan(spark, split_groups, monkeypatch)
     assert got.where("id = 1").first()["n"] == 8_000
     assert got.count() == 20_000
     assert scanned[0] < 16_000
+
+
+def test_sketch_finds_every_hot_group(spark, split_groups, monkeypatch):
+    """Many keys, some just above and some just below what is hot, with a sketch that has to forget most of them."""
+    monkeypatch.setattr("strandline.operators.hot.LEAST_TRACKED", 128)
+    near = spark.range(60_000).select(F.when(F.col("id") % 20 < 13, F.lit(-1) - F.col("id") % 20 % 3).otherwise(F.col("id")).alias("k"))
+    sizes = {r["k"]: r["count"] for r in near.groupBy("k").count().collect()}
+    hot = {r["__group"]["k"]: r["pieces"] for r in hot_groups(near, ["k"]).collect()}
+    assert hot == {k: -(-n // 7500) for k, n in sizes.items() if n > 7500} and len(hot) == 3
