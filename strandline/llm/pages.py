@@ -9,6 +9,8 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.llm.common import stash
@@ -212,10 +214,30 @@ def path_of(url: Column) -> Column:
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [lines_of(h) for h in batch.column("html").to_pylist()]
-        kinds = pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int8()))
-        texts = pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))
         rest = [batch.column(c) for c in ("page_id", "url", "print")]
-        yield pa.RecordBatch.from_arrays([*rest, kinds, texts], ["page_id", "url", "print", "kinds", "texts"])
+        hashes = pa.array([[xxhash.xxh3_64_intdigest(t) for _, t in f] for f in found], pa.list_(pa.uint64()))
+        yield pa.RecordBatch.from_arrays([*rest, hashes.cast(pa.list_(pa.int64()), safe=False)], ["page_id", "url", "print", "hashes"])
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines that may stay, one under the other and compressed. A line of the frame is left empty."""
+    for batch in batches:
+        found = [lines_of(h) for h in batch.column("html").to_pylist()]
+        kinds = pa.array([bytes(k for k, _ in f) for f in found], pa.binary())
+        texts = [zstandard.compress("\n".join("" if k == FRAME_LINE else t for k, t in f).encode()) for f in found]
+        rest = [batch.column(c) for c in ("page_id", "url", "print")]
+        yield pa.RecordBatch.from_arrays([*rest, kinds, pa.array(texts, pa.binary())], ["page_id", "url", "print", "kinds", "texts"])
+
+
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for kinds, packed, gone in zip(*(batch.column(c).to_pylist() for c in ("kinds", "texts", "shared"))):
+            lines = list(zip(kinds, zstandard.decompress(packed).decode().split("\n"))) if kinds else []
+            shared_ = set(gone or ())
+            article = [t for k, t in lines if k == ARTICLE_LINE]
+            out.append(" ".join(article or [t for n, (k, t) in enumerate(lines) if k == OPEN_LINE and n not in shared_]))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
 def _prefix(a: str, b: str) -> int:
@@ -253,7 +275,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     Only 64-bit hashes of lines are compared, so a page's part in it is small. Pages are numbered in order through a range
     partitioning of narrow rows, which is written to the shared scratch folder, and dealt to groups
     of ``GROUP_PAGES`` neighbours, the first and last of which visit the group next to theirs. A host with a
-    third of all pages is spread like others. Texts are shuffled once, to meet their shared lines.
+    third of all pages is spread like others. Texts are shuffled once, compressed, to meet their shared lines.
 
     A null or empty page has an empty text; a null URL has no host and an empty path. Rows alike in key, URL and
     page get equal texts. A page alone on its host shares nothing. No other column is read; an empty
@@ -262,12 +284,10 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     body = F.coalesce(F.col(html), F.lit(""))
     given = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.xxhash64(body).alias("print"), body.alias("html"))
     kind = f"page_id {given.schema['page_id'].dataType.simpleString()}, url string, print long"
-    parsed = given.mapInArrow(_parsed, f"{kind}, kinds array<byte>, texts array<string>")
-    hashes = F.transform("texts", lambda t: F.xxhash64(t)).alias("hashes")
-    narrow = parsed.select("page_id", "url", "print", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), hashes)
+    narrow = given.mapInArrow(_parsed, f"{kind}, hashes array<long>")
+    narrow = narrow.select("page_id", "url", "print", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "hashes")
     order = ["host", "path", "page_id", "url", "print"]
-    narrow = narrow.dropDuplicates(["page_id", "url", "print"])
-    ranged = narrow.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    ranged = narrow.repartitionByRange(*order).dropDuplicates(order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     ranged = stash(ranged, "pages")
     sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
     before, starts = 0, []
@@ -289,15 +309,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     placed = ranged.withColumn("place", place).withColumn("visit", F.explode(visits)).select(*order, "hashes", "place", "visit.*")
     marks = placed.groupBy("group").applyInArrow(_differenced, f"{kind}, shared array<int>")
     marks = marks.select(F.struct("page_id", "url", "print").alias("name"), "shared")
-
-    line = F.arrays_zip("kinds", "texts")
-    numbered = F.transform(line, lambda x, n: F.struct(x["kinds"].alias("kind"), x["texts"].alias("text"), n.alias("n")))
-    article = F.filter("lines", lambda x: x["kind"] == ARTICLE_LINE)
-    left = F.filter("lines", lambda x: (x["kind"] == OPEN_LINE) & ~F.array_contains("shared", x["n"]))
-    joined = (
-        parsed.select(F.struct("page_id", "url", "print").alias("name"), numbered.alias("lines"))
-        .join(marks, "name", "left")
-        .withColumn("chosen", F.when(F.size(article) > 0, article).otherwise(left))
-    )
-    text = F.concat_ws(" ", F.transform("chosen", lambda x: x["text"]))
-    return joined.select(F.col("name.page_id").alias(key), F.col("name.url").alias("url"), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    texts = given.mapInArrow(_kept, f"{kind}, kinds binary, texts binary")
+    joined = texts.select(F.struct("page_id", "url", "print").alias("name"), "kinds", "texts").join(marks, "name", "left")
+    named = joined.select("name.page_id", "name.url", "kinds", "texts", "shared")
+    found = named.mapInArrow(_chosen, f"{kind.rsplit(',', 1)[0]}, text string")
+    return found.select(F.col("page_id").alias(key), "url", "text", F.length("text").cast("long").alias("n_chars"))
