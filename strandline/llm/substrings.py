@@ -21,6 +21,7 @@ SEED_WORDS = 4  # a minimiser is the least hash of so many consecutive words in
 BUCKET_BYTES = 24 << 20  # super-k-mer text that one group should hold
 BUCKETS_PER_PARTITION = 2
 SLICE = 2 << 20  # bytes of text handled in one go
+SENT_BYTES = 24 << 20  # super-k-mer text that a task holds before it packs it
 SAMPLE_DOCS = 20_000  # looked at for minimisers so common that their windows travel one by one
 HOT_SHARE = 0.002  # of the sampled documents
 MOST_HOT = 10_000
@@ -151,7 +152,7 @@ def _sent(buckets: int, hot: np.ndarray):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts, ends = raw(batch.column("body"))
-            mini, row, start, text = [], [], [], []
+            runs_, held = [], 0
             lone, lone_row, lone_start = [], [], []
             for words, texts, number in _blocks(data, starts, ends):
                 first, many, least = super_kmers(words)
@@ -162,22 +163,18 @@ def _sent(buckets: int, hot: np.ndarray):
                 own = first - begin[doc] + number[doc]
                 warm = hot[np.searchsorted(hot, least).clip(0, max(0, len(hot) - 1))] == least if len(hot) else np.zeros(len(first), bool)
                 cold = np.flatnonzero(~warm)
-                mini.append(least[cold])
-                row.append(texts[doc[cold]])
-                start.append(own[cold])
-                line = words.line
-                text += [line[a:b] for a, b in zip(words.at[first[cold]].tolist(), (words.at[first[cold] + many[cold] + WINDOW - 1] - 1).tolist())]
+                line, begins, ends_ = words.line, words.at[first[cold]], words.at[first[cold] + many[cold] + WINDOW - 1] - 1
+                runs_.append((least[cold], texts[doc[cold]], own[cold], [line[a:b] for a, b in zip(begins.tolist(), ends_.tolist())]))
+                held += int((ends_ - begins).sum())
+                if held > SENT_BYTES:
+                    yield _batch(list(_packed_runs(batch, runs_, buckets)))
+                    runs_, held = [], 0
                 for k in np.flatnonzero(warm):
                     places = np.arange(first[k], first[k] + many[k])
                     lone += [xxhash.xxh3_128_digest(line[a:b]) for a, b in zip(words.at[places].tolist(), (words.at[places + WINDOW] - 1).tolist())]
                     lone_row.append(np.full(many[k], texts[doc[k]]))
                     lone_start.append(own[k] + np.arange(many[k]))
-            rows = []
-            if text:
-                mini, row, start = np.concatenate(mini), np.concatenate(row), np.concatenate(start)
-                ids = {c: batch.column(c).take(pa.array(row)) for c in ("r1", "r2")}
-                columns = {"mini": pa.array(mini), **ids, "start": pa.array(start), "text": pa.array(text, pa.binary())}
-                rows += _packed(columns, (mini % np.uint64(buckets)).astype(np.int64), KIND_RUNS)
+            rows = list(_packed_runs(batch, runs_, buckets))
             if lone:
                 row, start = np.concatenate(lone_row), np.concatenate(lone_start)
                 window = np.frombuffer(b"".join(lone), "<u8").reshape(-1, 2)
@@ -192,12 +189,27 @@ def _sent(buckets: int, hot: np.ndarray):
                 columns |= {c: ids[c].take(pa.array(one)) for c in ids} | {"start": pa.array(start[one])}
                 rows += _packed(columns, (window[one, 0] % np.uint64(buckets)).astype(np.int64), KIND_WINDOWS)
             if rows:
-                number, kind, blob = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(kind, pa.int8()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
+                yield _batch(rows)
 
     return send
 
 
+def _packed_runs(batch: pa.RecordBatch, runs_: list, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Super-k-mers of a batch's documents: their minimisers, documents, first words and texts."""
+    if not any(len(texts) for *_, texts in runs_):
+        return
+    mini, row, start = (np.concatenate([r[n] for r in runs_]) for n in range(3))
+    ids = {c: batch.column(c).take(pa.array(row)) for c in ("r1", "r2")}
+    texts = pa.chunked_array([pa.array(r[3], pa.binary()) for r in runs_]).combine_chunks()
+    columns = {"mini": pa.array(mini), **ids, "start": pa.array(start), "text": texts}
+    yield from _packed(columns, (mini % np.uint64(buckets)).astype(np.int64), KIND_RUNS)
+
+
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    number, kind, blob = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(kind, pa.int8()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
+
+
 def repeated_windows(texts: list[bytes]) -> np.ndarray:
     """For each window of some super-k-mers, one after another, whether it occurs more than once among them.
 
