@@ -287,7 +287,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     narrow = given.mapInArrow(_parsed, f"{kind}, hashes array<long>")
     narrow = narrow.select("page_id", "url", "print", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "hashes")
     order = ["host", "path", "page_id", "url", "print"]
-    ranged = narrow.repartitionByRange(*order).dropDuplicates(order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # One row a page first: the sampling for the ranges then reads that shuffle and parses no page again.
+    ranged = narrow.dropDuplicates(["page_id", "url", "print"]).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     ranged = stash(ranged, "pages")
     sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
     before, starts = 0, []
