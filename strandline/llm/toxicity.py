@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +17,7 @@ from strandline.llm.texts import CHUNK, raw, runs
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 16
 SAMPLE_PER_CLASS = 4000
+FRAGMENTS, FRAGMENT_SHARE = 2, 0.3  # of each sampled clean text, and their part of the clean texts' weight
 SAMPLE_FEATURES = 24_000_000  # the driver stops gathering the sample here, at 8 bytes each
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -103,6 +106,17 @@ def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.uint16), (counts[found] / max(1.0, counts.sum())).astype(np.float32)
 
 
+def fragments(text: bytes, count: int = FRAGMENTS) -> list[bytes]:
+    """Short runs of words from a text, where a hash of the text says. A text without words has none."""
+    words, rng = text.split(), np.random.default_rng(zlib.crc32(text))
+    found = []
+    for _ in range(count if words else 0):
+        size = int(rng.integers(3, 16))
+        at = int(rng.integers(0, max(1, len(words) - size)))
+        found.append(b" ".join(words[at : at + size]))
+    return found
+
+
 def train(bags, labels, weights, size: int = 16, rounds: int = 10, batch: int = 256, rate: float = 0.1, decay: float = 0.02, seed: int = 8) -> SubwordModel:
     """Fit vectors and heads together by Adam on the weighted cross-entropy.
 
@@ -144,32 +158,38 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, k
     """Fit on at most ``per_class`` labelled documents a class, held-out rows excluded.
 
     Executors turn the sampled texts into bags; the driver stops gathering at ``SAMPLE_FEATURES``
-    entries, and weighs the classes as all labelled rows have them. Without a labelled row of both
+    entries, and weighs the classes as all labelled rows have them. What is cut from a clean text is clean, so
+    short fragments of those are learned from too; else short texts would be judged by words hardly seen. Without a labelled row of both
     classes the score is the share of class 1, or a half where there are no labels at all.
     """
     rows, shares = sample(docs, labels, label, per_class, 8, key, text)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            found = [bag((t or "").encode()) for t in part.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("y"), pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())],
-                ["y", "buckets", "shares"],
-            )
-
-    got, ys, size = [], [], 0
-    for row in rows.mapInArrow(bags, "y int, buckets binary, shares binary").toLocalIterator():
+            found = []
+            for y, text in zip(part.column("y").to_pylist(), part.column("body").to_pylist()):
+                body = (text or "").encode()
+                found += [(y, False, *bag(body))] + [(y, True, *bag(f)) for f in (fragments(body) if y == 0 else ())]
+            ys, cut, buckets, shares_ = zip(*found) if found else ((), (), (), ())
+            columns = [pa.array(ys, pa.int32()), pa.array(cut, pa.bool_())]
+            columns += [pa.array([a.tobytes() for a in of], pa.binary()) for of in (buckets, shares_)]
+            yield pa.RecordBatch.from_arrays(columns, ["y", "cut", "buckets", "shares"])
+
+    got, ys, kinds, size = [], [], [], 0
+    for row in rows.mapInArrow(bags, "y int, cut boolean, buckets binary, shares binary").toLocalIterator():
         got.append((np.frombuffer(row["buckets"], np.uint16), np.frombuffer(row["shares"], np.float32)))
         ys.append(row["y"])
+        kinds.append((row["y"], row["cut"]))
         size += len(got[-1][0])
         if size >= SAMPLE_FEATURES:
             break
     if len(set(ys)) < 2:
-        share = sum(ys) / len(ys) if ys else 0.5
+        share = shares[1] if ys else 0.5
         bias = np.log(np.clip([1 - share, share], 1e-6, 1))
         return SubwordModel(np.zeros((BUCKETS, 1)), np.zeros((2, 1)), bias)
-    weights = [shares[y] / ys.count(y) for y in ys]
-    return train(got, ys, weights)
+    counts = Counter(kinds)
+    part = {(1, False): 1.0, (0, False): 1 - FRAGMENT_SHARE * ((0, True) in counts), (0, True): FRAGMENT_SHARE}
+    return train(got, ys, [shares[y] * part[y, cut] / counts[y, cut] for y, cut in kinds])
 
 
 def score(docs: DataFrame, model: SubwordModel, key: str = "doc_id", text: str = "text") -> DataFrame:
