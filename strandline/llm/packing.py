@@ -20,7 +20,7 @@ from strandline.llm.texts import raw, runs
 END = 1
 CAPACITY = 2048
 GROUP_PIECES = 4096  # about how many pieces are packed together
-UNITS_KEPT = 1_000_000  # units whose ids a worker remembers
+UNITS_KEPT = 400_000  # units whose ids a worker remembers
 LONGEST_KEPT = 64  # bytes of a unit it remembers
 SLICE = 4 << 20  # bytes tokenized in one go
 MARK = "\x01"  # stands between units handed to the tokenizer together
