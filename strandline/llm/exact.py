@@ -78,6 +78,7 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     best = F.max(F.struct("key", "row"))
     groups = moved.groupBy("sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.where("group_size > 1").select("sha", "group_size", F.col("best.key").alias("keep_id"), F.col("best.row").alias("keep_row"))
+    groups = stash(groups, "copy-groups")  # read from a table, the join is one that adaptive execution can split
     joined = moved.join(groups, "sha", "left").select(
         "key",
         F.when(F.col("group_size").isNull(), F.col("key")).otherwise(F.col("keep_id")).alias("keep_id"),
