@@ -41,10 +41,11 @@ def roots(links: DataFrame) -> DataFrame:
         if not known[0]:
             break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("low", "a").alias("low"))
+        # Written first, so that the joins are ones that adaptive execution can split.
+        lowest = stash(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("low", "a").alias("low")), "lowest")
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = stash(large.distinct(), "links")
-        lowest = large.groupBy("a").agg(F.min("b").alias("low"))
+        lowest = stash(large.groupBy("a").agg(F.min("b").alias("low")), "lowest")
         small = large.join(lowest, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         links = stash(small.unionByName(lowest.select("a", F.col("low").alias("b"))).distinct(), "links")
         before, known = known, _mark(links)

@@ -238,7 +238,7 @@ def _grouped(docs: DataFrame, radius: int, shingle: int, key: str, text: str) ->
     distinct = stash(given.groupBy("print").agg(F.min("key").alias("first")), "distinct-prints")
     stars = stash(roots(links(distinct.select("print"), radius)), "stars").withColumnRenamed("node", "print")
     joined = distinct.join(stars, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    lowest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    lowest = stash(joined.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
     named = stash(joined.join(lowest, "root").select("print", "root", "component_id"), "components")
     return given.join(named, "print")
 
