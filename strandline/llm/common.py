@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
-from strandline.sources import scratch_path
+from strandline.sources import written as stash
+
+__all__ = ["WORD", "piece_of", "pieces_for", "shuffle_key", "stash", "text_or_empty", "word_count"]
 
 # A word: anything between ASCII white space. Java, RE2 and Python read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,14 +18,6 @@ ROWS_PER_PIECE = 500
 MOST_PIECES = 65_536
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back, so that its lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pieces_for(rows: int) -> int:
     """Into how many pieces to cut an order over ``rows`` rows."""
     return min(MOST_PIECES, max(1, math.ceil(rows / ROWS_PER_PIECE)))
