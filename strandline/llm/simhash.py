@@ -243,14 +243,15 @@ def _grouped(docs: DataFrame, radius: int, shingle: int, key: str, text: str) ->
     return given.join(named, "print")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, one for each component of ``near_copies``: that with the smallest key.
+def first_of_each(docs: DataFrame, grouped: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, one for each ``root`` of ``grouped``: that with the smallest key.
 
-    Null keys are largest. Of rows with that key the one with the smallest hash of its text stays, and one of rows alike
-    in both. Texts are shuffled once, to meet the rows that stay.
+    ``grouped`` has ``key``, the ``hash`` of the text and ``root`` of every row. Null keys are largest. Of rows with that
+    key the one with the smallest hash of its text stays, and one of rows alike in both. Texts are shuffled once, to
+    meet the rows that stay.
     """
     place = F.struct(F.col("key").isNull().alias("none"), "key", "hash")
-    stay = _grouped(docs, radius, shingle, key, text).groupBy("root").agg(F.min(place).alias("best"))
+    stay = grouped.groupBy("root").agg(F.min(place).alias("best"))
     stay = stash(stay.select(F.struct(F.col("best.key").alias("k"), F.col("best.hash").alias("h")).alias("name")), "stay")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     named = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("name"), row)
