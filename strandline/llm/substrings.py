@@ -246,13 +246,13 @@ def repeated_windows(texts: list[bytes]) -> np.ndarray:
 def _spans(runs_: pa.Table) -> pa.RecordBatch:
     """The spans of words covered by repeated windows of one bucket's super-k-mers.
 
-    Only minimisers that came twice can have repeated windows, or one whose run is longer than a single
-    place of the minimiser allows. They are taken some at a time, so memory is bounded by the largest minimiser.
+    Only minimisers that came twice can have repeated windows, or one whose run has two windows or more: the gram may
+    be at several places of one window. They are taken some at a time, so memory is bounded by the largest minimiser.
     """
     mini = runs_["mini"].to_numpy()
     group, counts, _ = _groups(mini)
     size = runs_["text"].combine_chunks()
-    long = np.array(pa.compute.binary_length(size)) >= 2 * (2 * WINDOW - SEED_WORDS) - 1
+    long = np.array(pa.compute.count_substring(size, " ")) >= WINDOW
     row = np.flatnonzero((counts[group] > 1) | long)
     row = row[np.argsort(group[row], kind="stable")]
     out = []
