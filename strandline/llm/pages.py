@@ -29,6 +29,8 @@ FRAME_NAMES = set(
     "promoted related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo".split()
 )
 ARTICLE = {"article", "main"}
+# What a head may hold; anything else ends one that is left open.
+HEAD = {"html", "head", "base", "link", "meta", "title", "style", "script", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # Elements that stand in the midst of a line; all others begin and end one.
 INLINE = set("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong sub sup time tt u var wbr ins del big".split())
@@ -53,24 +55,31 @@ SAME_LEVEL = {"li", "td", "th", "tr", "option", "dt", "dd"}
 class Lines:
     """The text lines of a page and where each stands: in an article, in the frame around it, or neither.
 
-    An element left open ends with the element around it. A page header is frame, an article's own is not.
+    An element left open ends with the element around it, a head where the body or any text begins. A page header is
+    frame, an article's own is not. Nor is what encloses a main element; and where else no article line is left, nor is
+    what holds more than half of the page's text and either encloses an article or is a form or an element
+    that only a part of a class, id or role names frame, like ``with-sidebar``.
     """
 
     def __init__(self):
         self.open: list[tuple[str, bool, bool]] = []  # tag, hidden, frame
         self.hidden = self.frame = self.article = 0
-        self.lines: list[tuple[int, str]] = []
+        self.found: list[tuple[int, str, tuple[int, ...]]] = []
+        self.around: tuple[int, ...] = ()  # the frame elements that are open, by number
+        self.frames: list[str] = []  # what each may be: kept, "main", "article" or "loose"
         self.parts: list[str] = []
-        self.kind = OPEN_LINE
+        self.kind, self.held = OPEN_LINE, ()
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((self.kind, text))
+                self.found.append((self.kind, text, self.held))
             self.parts = []
 
     def start(self, tag: str, attributes: str) -> None:
+        if tag not in HEAD and self.open and self.open[-1][0] == "head":
+            self.close("head")
         if tag not in INLINE:
             self.flush()
         if tag in ENDS_P and any(t == "p" for t, _, _ in self.open):
@@ -79,11 +88,12 @@ class Lines:
             self.close(tag)
         if tag in VOID:
             return
-        named = unseen = False
+        named = unseen = whole = False
         if "=" in attributes or "hidden" in attributes:
             if tag not in ARTICLE and tag not in ("html", "body"):
                 names = " ".join(v for _, v in NAMES.findall(attributes)).lower()
                 named = not FRAME_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", names))
+                whole = not FRAME_NAMES.isdisjoint(re.split(r"[\s\"']+", names))
             unseen = UNSEEN.search(attributes) is not None
         unseen |= tag in HIDDEN
         frame = named or tag in FRAME or (tag == "header" and not self.article)
@@ -91,6 +101,13 @@ class Lines:
         self.hidden += unseen
         self.frame += frame
         self.article += tag in ARTICLE
+        if frame:
+            self.around += (len(self.frames),)
+            loose = tag == "form" or (not whole and tag not in FRAME and tag != "header")
+            self.frames.append("loose" if loose else "kept")
+        if tag in ARTICLE and not self.hidden:
+            for n in self.around:
+                self.frames[n] = "main" if "main" in (tag, self.frames[n]) else "article"
 
     def close(self, tag: str) -> None:
         for n in range(len(self.open) - 1, -1, -1):
@@ -98,6 +115,7 @@ class Lines:
                 for t, unseen, frame in self.open[n:]:
                     self.hidden -= unseen
                     self.frame -= frame
+                    self.around = self.around[: len(self.around) - 1] if frame else self.around
                     self.article -= t in ARTICLE
                 del self.open[n:]
                 return
@@ -105,15 +123,29 @@ class Lines:
                 return
 
     def text(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.close("head")
         if self.hidden or not data:
             return
-        kind = FRAME_LINE if self.frame else ARTICLE_LINE if self.article else OPEN_LINE
-        if kind != self.kind:
+        kind = ARTICLE_LINE if self.article else OPEN_LINE
+        if (kind, self.around) != (self.kind, self.held):
             self.flush()
-            self.kind = kind
+            self.kind, self.held = kind, self.around
         self.parts.append(unescape(data) if "&" in data else data)
 
 
+    def lines(self) -> list[tuple[int, str]]:
+        """Every line and where it stands, now that it is known what each frame element holds."""
+        open_ = {n for n, k in enumerate(self.frames) if k == "main"}
+        if not any(kind == ARTICLE_LINE and open_.issuperset(held) for kind, _, held in self.found):
+            inside = np.zeros(len(self.frames), np.int64)
+            for _, text, held in self.found:
+                inside[list(held)] += len(text)
+            most = sum(len(text) for _, text, _ in self.found) / 2
+            open_ |= {n for n, k in enumerate(self.frames) if k != "kept" and inside[n] > most}
+        return [(kind if open_.issuperset(held) else FRAME_LINE, text) for kind, text, held in self.found]
+
+
 def lines_of(html: str | None) -> list[tuple[int, str]]:
     """The text lines of a page in order, each with where it stands. A null page has none."""
     page, at, html = Lines(), 0, html or ""
@@ -137,7 +169,7 @@ def lines_of(html: str | None) -> list[tuple[int, str]]:
             at = ends.start() if ends else len(html)
     page.text(html[at:])
     page.flush()
-    return page.lines
+    return page.lines()
 
 
 def shared(a: list[int], b: list[int]) -> np.ndarray:
