@@ -15,11 +15,11 @@ def held_out(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int, key: str = "doc_id", text: str = "text"):
-    """At most ``most`` labelled documents of each class, as rows ``y``, ``body``, and each class's share of all.
+    """At most ``most`` labelled documents of each class, as rows ``y``, ``body``, ``order``, and each class's share of all.
 
     Labels come from rows that are not held out; labels that are null or not 0 or 1 are left out, and a
     key labelled twice takes the larger. The sample is the documents with the smallest seeded hashes,
-    so reruns agree. It is picked from the narrow labels and joined as a broadcast of at most
+    ``order``, so reruns agree. It is picked from the narrow labels and joined as a broadcast of at most
     ``2 * most`` rows.
     """
     known = labels.where(~held_out(F.col(key)) & F.col(label).isin(0, 1) & F.col(key).isNotNull())
@@ -29,4 +29,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int,
     picked = [known.where(F.col("y") == y).orderBy(order, "key").limit(most) for y in (0, 1)]
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     total = sum(counts.values()) or 1
-    return rows.join(F.broadcast(picked[0].unionAll(picked[1])), "key").select("y", "body"), {y: counts.get(y, 0) / total for y in (0, 1)}
+    return rows.join(F.broadcast(picked[0].unionAll(picked[1])), "key").select("y", "body", order.alias("order")), {y: counts.get(y, 0) / total for y in (0, 1)}

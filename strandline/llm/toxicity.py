@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from strandline.llm.common import stash
 from strandline.llm.folds import held_out, sample
 from strandline.llm.texts import CHUNK, raw, runs
 
@@ -18,7 +19,7 @@ GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 16
 SAMPLE_PER_CLASS = 4000
 FRAGMENTS, FRAGMENT_SHARE = 2, 0.3  # of each sampled clean text, and their part of the clean texts' weight
-SAMPLE_FEATURES = 24_000_000  # the driver stops gathering the sample here, at 8 bytes each
+SAMPLE_FEATURES = 24_000_000  # that the sample may have on the driver, at 8 bytes each; beyond, it has fewer documents
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[ord("A") : ord("Z") + 1] += 32
@@ -154,11 +155,36 @@ def train(bags, labels, weights, size: int = 16, rounds: int = 10, batch: int =
     return model
 
 
+def within(sizes: list[tuple[str, int, int]], most: int) -> dict[int, str]:
+    """For each class the last hash to take, so that all documents up to it have ``most`` entries at most.
+
+    ``sizes`` has each document's hash, class and entries. The classes take turns, each by its smallest hash, and end together; each has
+    its first hash at least. Documents of one hash are taken together.
+    """
+    total: dict[tuple[int, str], int] = Counter()
+    for order, y, size in sizes:
+        total[y, order] += size
+    nth: Counter = Counter()
+    line = []
+    for y, order in sorted(total):
+        line.append((nth[y], y, order))
+        nth[y] += 1
+    last: dict[int, str] = {}
+    sum_ = 0
+    for n, y, order in sorted(line):
+        sum_ += total[y, order]
+        if n and sum_ > most:
+            break
+        last[y] = order
+    return last
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> SubwordModel:
     """Fit on at most ``per_class`` labelled documents a class, held-out rows excluded.
 
-    Executors turn the sampled texts into bags; the driver stops gathering at ``SAMPLE_FEATURES``
-    entries, and weighs the classes as all labelled rows have them. What is cut from a clean text is clean, so
+    Executors turn the sampled texts into bags and count their entries. Where those are more than ``SAMPLE_FEATURES``, each class
+    gives fewer documents, those first by their hash; where they lie in the table has no say. The driver
+    weighs the classes as all labelled rows have them. What is cut from a clean text is clean, so
     short fragments of those are learned from too; else short texts would be judged by words hardly seen. Without a labelled row of both
     classes the score is the share of class 1, or a half where there are no labels at all.
     """
@@ -167,22 +193,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, k
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             found = []
-            for y, text in zip(part.column("y").to_pylist(), part.column("body").to_pylist()):
+            for y, text, order in zip(*(part.column(c).to_pylist() for c in ("y", "body", "order"))):
                 body = (text or "").encode()
-                found += [(y, False, *bag(body))] + [(y, True, *bag(f)) for f in (fragments(body) if y == 0 else ())]
-            ys, cut, buckets, shares_ = zip(*found) if found else ((), (), (), ())
-            columns = [pa.array(ys, pa.int32()), pa.array(cut, pa.bool_())]
+                own = [(False, *bag(body))] + [(True, *bag(f)) for f in (fragments(body) if y == 0 else ())]
+                found += [(y, order, sum(len(b) for _, b, _ in own), *one) for one in own]
+            ys, orders, sizes, cut, buckets, shares_ = zip(*found) if found else ((),) * 6
+            columns = [pa.array(ys, pa.int32()), pa.array(orders, pa.string()), pa.array(sizes, pa.int64()), pa.array(cut, pa.bool_())]
             columns += [pa.array([a.tobytes() for a in of], pa.binary()) for of in (buckets, shares_)]
-            yield pa.RecordBatch.from_arrays(columns, ["y", "cut", "buckets", "shares"])
-
-    got, ys, kinds, size = [], [], [], 0
-    for row in rows.mapInArrow(bags, "y int, cut boolean, buckets binary, shares binary").toLocalIterator():
+            yield pa.RecordBatch.from_arrays(columns, ["y", "order", "size", "cut", "buckets", "shares"])
+
+    every = stash(rows.mapInArrow(bags, "y int, order string, size long, cut boolean, buckets binary, shares binary"), "bags")
+    last = within([tuple(r) for r in every.where("NOT cut").select("order", "y", "size").collect()], SAMPLE_FEATURES)
+    chosen = every.where(F.lit(False))
+    for y, order in last.items():
+        chosen = chosen.unionAll(every.where((F.col("y") == y) & (F.col("order") <= order)))
+    got, ys, kinds = [], [], []
+    for row in chosen.toLocalIterator():
         got.append((np.frombuffer(row["buckets"], np.uint16), np.frombuffer(row["shares"], np.float32)))
         ys.append(row["y"])
         kinds.append((row["y"], row["cut"]))
-        size += len(got[-1][0])
-        if size >= SAMPLE_FEATURES:
-            break
     if len(set(ys)) < 2:
         share = shares[1] if ys else 0.5
         bias = np.log(np.clip([1 - share, share], 1e-6, 1))
