@@ -22,21 +22,43 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def components(prints):
-    """For each of some fingerprints the position of the first one it is linked with, directly or not."""
-    parent = list(range(len(prints)))
+def linked(things, alike):
+    """For each of some things the position of the first one it is linked with, directly or not."""
+    parent = list(range(len(things)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i in range(len(prints)):
+    for i in range(len(things)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
+            if alike(things[i], things[j]):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
-    return [find(i) for i in range(len(prints))]
+    return [find(i) for i in range(len(things))]
+
+
+def components(prints):
+    """Groups of fingerprints with four or fewer differing bits."""
+    return linked(prints, lambda a, b: (a ^ b).bit_count() <= 4)
+
+
+def shingle_set(text):
+    found = [w.translate(LOWER) for w in words(text)]
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
+
+
+def similar(texts):
+    """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+
+    def alike(a, b):
+        if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+            return False
+        both = len(a & b)
+        return 5 * both >= 4 * (len(a) + len(b) - both)
+
+    return linked([shingle_set(t) for t in texts], alike)
 
 
 def held_out(key):

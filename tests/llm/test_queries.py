@@ -191,7 +191,7 @@ def test_pipeline(spark):
             assert {r["doc_id"] for r in after} == {r["doc_id"] for r in best.values()}
         if name == "near copies":
             before.sort(key=lambda r: r["doc_id"])
-            first = brute.components([brute.fingerprint(r["text"]) for r in before])
+            first = brute.similar([r["text"] for r in before])
             assert {r["doc_id"] for r in after} == {before[f]["doc_id"] for f in first}
         if name == "source mix":
             times = Counter(r["doc_id"] for r in after)
