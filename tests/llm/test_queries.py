@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, name):
 
 def test_entry_lists_operators_and_pipeline():
     numbers = sorted(int(m[1]) for n in entry_point.queries() if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert entry_point.queries()["pipeline"] is corpus_pipeline.run
 
 
