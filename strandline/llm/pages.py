@@ -15,11 +15,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.llm.common import stash
 
-GROUP_PAGES = 64  # neighbouring pages that are compared in one group
+GROUP_PAGES = 128  # neighbouring pages that are compared in one group
+GUESTS = 8  # pages of the groups on either side that visit it
+ALIKE = 0.5  # pages that share more of their text than this are versions of one page
+COPIES = 0.9  # and those that share more than this tell nothing of each other
+JURY = 4  # unlike pages on either side that a line within an article is held against, and that there must be at least
 BITS_AT_ONCE = 1 << 26  # of an alignment's table; longer ones are cut in two
 
 # Elements without text of their own for a reader.
-HIDDEN = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "select", "button", "textarea"}
+HIDDEN = {"script", "style", "template", "svg", "iframe", "head", "title", "select", "button", "textarea"}
 # Elements that are not part of an article.
 FRAME = {"nav", "aside", "footer", "form", "menu", "dialog"}
 # Words of class, id and role that name such parts.
@@ -46,7 +50,7 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 # What these hold is text up to their own end tag.
-RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.IGNORECASE) for t in ("script", "style", "title", "textarea", "noscript", "iframe")}
+RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.IGNORECASE) for t in ("script", "style", "title", "textarea", "iframe")}
 NAMES = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 UNSEEN = re.compile(r"""(?:^|[\s"'/])(?:hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["']?true)""", re.IGNORECASE)
 SAME_LEVEL = {"li", "td", "th", "tr", "option", "dt", "dd"}
@@ -92,8 +96,10 @@ class Lines:
         if "=" in attributes or "hidden" in attributes:
             if tag not in ARTICLE and tag not in ("html", "body"):
                 names = " ".join(v for _, v in NAMES.findall(attributes)).lower()
-                named = not FRAME_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", names))
-                whole = not FRAME_NAMES.isdisjoint(re.split(r"[\s\"']+", names))
+                parted = [[p for p in re.split(r"[^a-z0-9]+", name) if p] for name in re.split(r"[\s\"']+", names)]
+                whole = any(parts and FRAME_NAMES.issuperset(parts) for parts in parted)
+                # Within an article a name like related-work or share-chart is that of a part of it; cookie-notice is not.
+                named = whole or (not self.article and not FRAME_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", names)))
             unseen = UNSEEN.search(attributes) is not None
         unseen |= tag in HIDDEN
         frame = named or tag in FRAME or (tag == "header" and not self.article)
@@ -243,32 +249,40 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1), F.lit(""))
 
 
+def _digest(lines: list[tuple[int, str]]) -> tuple[list[int], bytes]:
+    """Hashes of the lines that markup does not give to the frame, and one of them all."""
+    hashes = [xxhash.xxh3_64_intdigest(t) for k, t in lines if k != FRAME_LINE]
+    return hashes, xxhash.xxh3_128_digest(np.array(hashes, np.uint64).tobytes())
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What differencing needs of a page: the hashes and lengths of its lines, those of the frame left out."""
     for batch in batches:
         found = [lines_of(h) for h in batch.column("html").to_pylist()]
-        rest = [batch.column(c) for c in ("page_id", "url", "print")]
-        hashes = pa.array([[xxhash.xxh3_64_intdigest(t) for _, t in f] for f in found], pa.list_(pa.uint64()))
-        yield pa.RecordBatch.from_arrays([*rest, hashes.cast(pa.list_(pa.int64()), safe=False)], ["page_id", "url", "print", "hashes"])
+        digests = [_digest(f) for f in found]
+        hashes = pa.array([h for h, _ in digests], pa.list_(pa.uint64())).cast(pa.list_(pa.int64()), safe=False)
+        sizes = pa.array([[len(t) for k, t in f if k != FRAME_LINE] for f in found], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column("url"), pa.array([d for _, d in digests], pa.binary()), hashes, sizes], ["url", "digest", "hashes", "sizes"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines that may stay, one under the other and compressed. A line of the frame is left empty."""
+    """The lines that may stay, one under the other and compressed."""
     for batch in batches:
         found = [lines_of(h) for h in batch.column("html").to_pylist()]
-        kinds = pa.array([bytes(k for k, _ in f) for f in found], pa.binary())
-        texts = [zstandard.compress("\n".join("" if k == FRAME_LINE else t for k, t in f).encode()) for f in found]
-        rest = [batch.column(c) for c in ("page_id", "url", "print")]
-        yield pa.RecordBatch.from_arrays([*rest, kinds, pa.array(texts, pa.binary())], ["page_id", "url", "print", "kinds", "texts"])
+        digests = pa.array([_digest(f)[1] for f in found], pa.binary())
+        kinds = pa.array([bytes(k for k, _ in f if k != FRAME_LINE) for f in found], pa.binary())
+        texts = [zstandard.compress("\n".join(t for k, t in f if k != FRAME_LINE).encode()) for f in found]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), digests, kinds, pa.array(texts, pa.binary())], ["page_id", "url", "digest", "kinds", "texts"])
 
 
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each page: lines that differencing deletes go, within an article only those that every unlike page has."""
     for batch in batches:
         out = []
-        for kinds, packed, gone in zip(*(batch.column(c).to_pylist() for c in ("kinds", "texts", "shared"))):
+        for kinds, packed, near, common in zip(*(batch.column(c).to_pylist() for c in ("kinds", "texts", "near", "common"))):
             lines = list(zip(kinds, zstandard.decompress(packed).decode().split("\n"))) if kinds else []
-            shared_ = set(gone or ())
-            article = [t for k, t in lines if k == ARTICLE_LINE]
-            out.append(" ".join(article or [t for n, (k, t) in enumerate(lines) if k == OPEN_LINE and n not in shared_]))
+            gone = {ARTICLE_LINE: set(common or ()), OPEN_LINE: set(near or ())}
+            out.append(" ".join(t for n, (k, t) in enumerate(lines) if n not in gone[k]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
@@ -276,51 +290,100 @@ def _prefix(a: str, b: str) -> int:
     return len(os.path.commonprefix([a, b]))
 
 
+class Neighbours:
+    """Pages of one host in order of path: their line hashes, the lengths of these lines, and what each shares with others.
+
+    A page that shares more than ``ALIKE`` of its text, or of the other's if that is shorter, with the page before it
+    is a version of the same page. Versions stand together as one; pages are held against those before and after them.
+    """
+
+    def __init__(self, paths: list[str], lines: list[list[int]], sizes: list[list[int]]):
+        self.paths, self.lines, self.sizes = paths, lines, [np.array(s) for s in sizes]
+        self.total = [max(1, int(s.sum())) for s in self.sizes]
+        self.version = [0]
+        for n in range(1, len(paths)):
+            self.version.append(self.version[-1] + (self.likeness(n, n - 1)[0] <= ALIKE))
+        self.first, self.last = {}, {}
+        for n, v in enumerate(self.version):
+            self.first.setdefault(v, n)
+            self.last[v] = n
+
+    def likeness(self, n: int, other: int) -> tuple[float, np.ndarray]:
+        """The share of the shorter page's text that both have, and which lines of ``n`` that is."""
+        taken = shared(self.lines[n], self.lines[other])
+        return float(self.sizes[n][taken].sum()) / min(self.total[n], self.total[other]), taken
+
+    def unlike(self, n: int, step: int) -> list[tuple[int, np.ndarray]]:
+        """The nearest unlike pages before (``step`` -1) or after a page, the nearest first, and the lines it shares with each."""
+        ends = self.first if step > 0 else self.last
+        there = [ends[v] for v in range(self.version[n] + step, self.version[n] + step * (JURY + 1), step) if v in ends]
+        return [(m, taken) for m, (share, taken) in ((m, self.likeness(n, m)) for m in there) if share <= ALIKE]
+
+    def judged(self, n: int) -> tuple[list[int], list[int]]:
+        """The lines a page shares with its nearest unlike page, and those it shares with all of at least ``JURY`` of them.
+
+        Nearest is the page whose path has the longer part in common, of the first unlike one before and after; the
+        one before, if equal. Where there are versions of the same page only, the one that shares least stands in,
+        unless all share more than ``COPIES``.
+        """
+        before, after = self.unlike(n, -1), self.unlike(n, 1)
+        near = max([*before[:1], *after[:1]], key=lambda m: _prefix(self.paths[m[0]], self.paths[n]), default=None)
+        if near is None:
+            v = self.version[n]
+            versions = [self.likeness(n, m) for m in dict.fromkeys((n - 1, n + 1, self.first[v], self.last[v])) if m != n and 0 <= m < len(self.paths)]
+            least = min(versions, key=lambda x: x[0], default=(1.0, None))
+            near = (n, least[1]) if least[0] <= COPIES else None
+        every = np.logical_and.reduce([taken for _, taken in [*before, *after]]) if len(before) + len(after) >= JURY else np.zeros(0, bool)
+        return np.flatnonzero(near[1]).tolist() if near else [], np.flatnonzero(every).tolist()
+
+
 def _differenced(group: pa.Table) -> pa.Table:
-    """Neighbouring pages of one group: the lines each shares with the nearest of its two neighbours on the host."""
+    """For the pages at home in a group the lines that differencing would delete."""
     group = group.sort_by("place")
-    host, path, guest = (group[c].to_pylist() for c in ("host", "path", "guest"))
-    lines = group["hashes"].to_pylist()
-    marks, rows = [], []
-    for n in range(group.num_rows):
-        if guest[n]:
-            continue
-        near = [m for m in (n - 1, n + 1) if 0 <= m < group.num_rows and host[m] == host[n]]
-        best = max(near, key=lambda m: _prefix(path[m], path[n]), default=None)
-        marks.append(np.flatnonzero(shared(lines[n], lines[best])).tolist() if best is not None else [])
-        rows.append(n)
-    taken = group.select(["page_id", "url", "print"]).take(pa.array(rows, pa.int64()))
-    return taken.append_column("shared", pa.array(marks, pa.list_(pa.int32())))
+    host, path, guest, lines, sizes = (group[c].to_pylist() for c in ("host", "path", "guest", "hashes", "sizes"))
+    rows, near, common = [], [], []
+    opens = [n for n in range(len(host)) if n == 0 or host[n] != host[n - 1]]
+    for a, b in zip(opens, [*opens[1:], len(host)]):
+        pages = Neighbours(path[a:b], lines[a:b], sizes[a:b])
+        for n in range(b - a):
+            if not guest[a + n]:
+                one, two = pages.judged(n)
+                rows.append(a + n)
+                near.append(one)
+                common.append(two)
+    taken = group.select(["host", "digest"]).take(pa.array(rows, pa.int64()))
+    return taken.append_column("near", pa.array(near, pa.list_(pa.int32()))).append_column("common", pa.array(common, pa.list_(pa.int32())))
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """The main text of every page: ``key``, ``url``, ``text`` and ``n_chars``.
 
-    A page is parsed into text lines: character references decoded, white space made one space. Pages of a
-    host are put in order of URL path, and each is aligned with that of its two neighbours whose path has the longer
-    part in common (the one before, if equal), by a longest common subsequence of their lines. Lines shared are
-    deleted. What markup tells beyond doubt comes after: lines within an article or main element that is not part of
-    its frame stay though shared, as a copy of a page shares all of them, and lines of menus, page headers, footers,
-    sidebars, notices, adverts, forms and comments go though not shared. If a page has any
-    article lines, those are the text; else the lines left. They are joined by one space.
+    A page is parsed into text lines: character references decoded, white space made one space. Lines of menus, page headers,
+    footers, sidebars, notices, adverts, forms and comments go, where markup names them. The rest is settled by differencing: pages of a host
+    are put in order of URL path, and each is aligned with the nearest unlike page by a longest common subsequence of
+    their lines. Pages with the same lines stand for one another, and neighbours that share most of their text are versions of
+    one page, which tell nothing of each other. Lines shared with the nearest unlike page are deleted. Article markup breaks
+    ties: as articles may quote the same passage, a line within an article or main element goes only if all of the
+    nearest unlike pages have it, four or more of them. What is left is joined by one space.
 
-    Only 64-bit hashes of lines are compared, so a page's part in it is small. Pages are numbered in order through a range
-    partitioning of narrow rows, which is written to the shared scratch folder, and dealt to groups
-    of ``GROUP_PAGES`` neighbours, the first and last of which visit the group next to theirs. A host with a
-    third of all pages is spread like others. Texts are shuffled once, compressed, to meet their shared lines.
+    Only 64-bit hashes and lengths of lines are compared, one row for all pages of a host with the same lines, so a page's part in it is
+    small. Such rows are numbered in order through a range partitioning, which is written to the shared scratch folder, and dealt to groups
+    of ``GROUP_PAGES`` neighbours; the first and last ``GUESTS`` visit the group next to theirs. So a page in a run of versions
+    longer than that is held against what its group has. A host with a
+    third of all pages is spread like others. Texts are shuffled once, compressed, to meet what was found of their lines.
 
     A null or empty page has an empty text; a null URL has no host and an empty path. Rows alike in key, URL and
-    page get equal texts. A page alone on its host shares nothing. No other column is read; an empty
+    page get equal texts. A page alone on its host shares nothing. Pages are taken whole, however long. No other column is read; an empty
     table gives an empty result.
     """
-    body = F.coalesce(F.col(html), F.lit(""))
-    given = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.xxhash64(body).alias("print"), body.alias("html"))
-    kind = f"page_id {given.schema['page_id'].dataType.simpleString()}, url string, print long"
-    narrow = given.mapInArrow(_parsed, f"{kind}, hashes array<long>")
-    narrow = narrow.select("page_id", "url", "print", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "hashes")
-    order = ["host", "path", "page_id", "url", "print"]
-    # One row a page first: the sampling for the ranges then reads that shuffle and parses no page again.
-    ranged = narrow.dropDuplicates(["page_id", "url", "print"]).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    given = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    kind = f"page_id {given.schema['page_id'].dataType.simpleString()}, url string"
+    narrow = given.select("url", "html").mapInArrow(_parsed, "url string, digest binary, hashes array<long>, sizes array<int>")
+    narrow = narrow.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "digest", "hashes", "sizes").where(F.size("hashes") > 0)
+    order = ["host", "path", "digest"]
+    # One row for equal pages first: the sampling for the ranges then reads that shuffle and parses no page again.
+    alone = narrow.groupBy("host", "digest").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"))
+    ranged = alone.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     ranged = stash(ranged, "pages")
     sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
     before, starts = 0, []
@@ -334,16 +397,14 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     visits = F.filter(
         F.array(
             F.struct(group.alias("group"), F.lit(False).alias("guest")),
-            F.when(spot == 0, F.struct((group - 1).alias("group"), F.lit(True).alias("guest"))),
-            F.when(spot == GROUP_PAGES - 1, F.struct((group + 1).alias("group"), F.lit(True).alias("guest"))),
+            F.when(spot < GUESTS, F.struct((group - 1).alias("group"), F.lit(True).alias("guest"))),
+            F.when(spot >= GROUP_PAGES - GUESTS, F.struct((group + 1).alias("group"), F.lit(True).alias("guest"))),
         ),
         lambda v: v.isNotNull(),
     )
-    placed = ranged.withColumn("place", place).withColumn("visit", F.explode(visits)).select(*order, "hashes", "place", "visit.*")
-    marks = placed.groupBy("group").applyInArrow(_differenced, f"{kind}, shared array<int>")
-    marks = marks.select(F.struct("page_id", "url", "print").alias("name"), "shared")
-    texts = given.mapInArrow(_kept, f"{kind}, kinds binary, texts binary")
-    joined = texts.select(F.struct("page_id", "url", "print").alias("name"), "kinds", "texts").join(marks, "name", "left")
-    named = joined.select("name.page_id", "name.url", "kinds", "texts", "shared")
-    found = named.mapInArrow(_chosen, f"{kind.rsplit(',', 1)[0]}, text string")
+    placed = ranged.withColumn("place", place).withColumn("visit", F.explode(visits)).select(*order, "hashes", "sizes", "place", "visit.*")
+    marks = stash(placed.groupBy("group").applyInArrow(_differenced, "host string, digest binary, near array<int>, common array<int>"), "page-marks")
+    texts = given.mapInArrow(_kept, f"{kind}, digest binary, kinds binary, texts binary").withColumn("host", host_of(F.col("url")))
+    joined = texts.join(marks, ["host", "digest"], "left").select("page_id", "url", "kinds", "texts", "near", "common")
+    found = joined.mapInArrow(_chosen, f"{kind}, text string")
     return found.select(F.col("page_id").alias(key), "url", "text", F.length("text").cast("long").alias("n_chars"))
