@@ -9,20 +9,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.folds import held_out, sample
+from strandline.llm.common import stash
+from strandline.llm.folds import held_out, sample, within
 from strandline.llm.texts import raw, runs
 
 PASSAGE_WORDS = 48
-PASSAGE_BYTES = 1024  # a passage also ends here, so that a text without spaces has bounded passages
+PASSAGE_BYTES = 1024  # a passage also ends with the word that passes a multiple of this; a longer word is cut into several
 PAIRS = 256
 SAMPLE_PER_CLASS = 2000
-SAMPLE_PASSAGES = 32  # of a training document, evenly spaced; scoring reads every passage
+SAMPLE_PASSAGES = 150_000  # of all training documents; where there are more, each class gives fewer documents
+SLICE = 1 << 20  # bytes of a long text that are encoded at once
 FEATURES = 256 + PAIRS + 6
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+@dataclass
+class Before:
+    """What comes before a slice of a text that begins where a passage does, and how long the whole text is."""
+
+    bytes: int = 0
+    words: int = 0
+    length: int = 0
+
+
 def passages(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Encodings of all passages of some texts (passages x FEATURES) and the text each belongs to.
 
@@ -30,22 +41,51 @@ def passages(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     its bytes and hashed byte pairs as shares, and how long, how varied and how repetitive its words are.
     A text without words has one passage of zeros.
     """
+    return _encoded(data, starts, ends)[:2]
+
+
+def slices(data: np.ndarray, start: int, end: int) -> Iterator[np.ndarray]:
+    """The encodings of a long text's passages, some at a time: the same as all at once."""
+    before, at = Before(0, 0, end - start), start
+    while True:
+        size = SLICE
+        while True:
+            to = min(end, at + size)
+            found, _, opens, words = _encoded(data, np.array([at]), np.array([to]), before)
+            if to == end or len(opens) > 1:
+                break
+            size *= 2
+        if to == end:
+            yield found
+            return
+        # The last passage may go on; the next slice begins with it.
+        yield found[:-1]
+        before = Before(before.bytes + int(opens[-1]), before.words + int(words[-1]), before.length)
+        at += int(opens[-1])
+
+
+def _encoded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: Before | None = None) -> tuple[np.ndarray, ...]:
+    """``passages``, and where each begins, in bytes and in words; ``before`` if there is one text and it is a slice."""
     lengths = (ends - starts).astype(np.int64)
     base = int(starts[0]) if len(starts) else 0
     text = data[base : base + int(lengths.sum())]
     firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     space = _SPACE[text]
+    edge = np.ones(len(text), bool)
+    edge[1:] = doc[1:] != doc[:-1]
     begins = ~space
-    begins[1:] &= space[:-1] | (doc[1:] != doc[:-1])
+    begins[1:] &= space[:-1] | edge[1:]
+    every = np.arange(len(text))
+    begins |= ~space & ((every - np.maximum.accumulate(np.where(begins, every, 0))) % PASSAGE_BYTES == 0) if len(text) else begins
     word_at = np.flatnonzero(begins)
     if not len(word_at):
-        return np.zeros((len(lengths), FEATURES), np.float32), np.arange(len(lengths))
+        return np.zeros((len(lengths), FEATURES), np.float32), np.arange(len(lengths)), np.zeros(0, np.int64), np.zeros(0, np.int64)
     word_doc = doc[word_at]
     first_word = np.searchsorted(word_doc, np.arange(len(lengths)))
-    nth = np.arange(len(word_at)) - first_word[word_doc]
-    block = (word_at - firsts[word_doc]) // PASSAGE_BYTES
-    opens = (nth % PASSAGE_WORDS == 0) | np.concatenate([[True], (block[1:] != block[:-1])])
+    nth = np.arange(len(word_at)) - first_word[word_doc] + (before.words if before else 0)
+    block = (word_at - firsts[word_doc] + (before.bytes if before else 0)) // PASSAGE_BYTES
+    opens = (nth % PASSAGE_WORDS == 0) | np.concatenate([[True], (block[1:] != block[:-1]) | (word_doc[1:] != word_doc[:-1])])
     passage_of_word = np.cumsum(opens) - 1
     count = int(passage_of_word[-1]) + 1
     owner = word_doc[opens]
@@ -57,7 +97,7 @@ def passages(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     letter = text[solid].astype(np.int64)
     size = np.bincount(passage, minlength=count).astype(np.float32)
     single = np.bincount(passage * 256 + letter, minlength=count * 256).reshape(count, 256)
-    follows = np.append(text[1:], 32)[solid].astype(np.int64)
+    follows = np.append(np.where(edge[1:], 32, text[1:]), data[base + len(text)] if before and base + len(text) < base + before.length - before.bytes else 32)[solid].astype(np.int64)
     pair = ((letter * 257 + follows) * 40503 >> 6) % PAIRS
     double = np.bincount(passage * PAIRS + pair, minlength=count * PAIRS).reshape(count, PAIRS)
 
@@ -84,7 +124,7 @@ def passages(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
             distinct / words,
             np.bincount(passage_of_word, again, count) / words,
             lines / words,
-            np.log1p(lengths[owner]) / 10,
+            np.log1p(np.full(len(owner), before.length) if before else lengths[owner]) / 10,
         ],
         1,
     )
@@ -95,7 +135,7 @@ def passages(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
         owner = np.concatenate([owner, bare])
         order = np.argsort(owner, kind="stable")
         found, owner = found[order], owner[order]
-    return found, owner
+    return found, owner, word_at[opens], np.flatnonzero(opens)
 
 
 @dataclass
@@ -123,14 +163,21 @@ class AttentionModel:
         return scaled, coded, tanh, sigmoid, (tanh * sigmoid) @ self.attend
 
 
+def _spread(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The mean and, nearly, the standard deviation of each feature of all passages."""
+    count = sum(map(len, bags))
+    mean = sum(b.sum(0, np.float64) for b in bags) / count
+    square = sum((b.astype(np.float64) ** 2).sum(0) for b in bags) / count
+    return mean.astype(np.float32), (np.sqrt((square - mean**2).clip(0)) + 0.02).astype(np.float32)
+
+
 def train(bags: list[np.ndarray], labels, weights, size: int = 24, gate: int = 12, rounds: int = 24, batch: int = 64, rate: float = 2e-3, decay: float = 1e-2, seed: int = 10) -> AttentionModel:
     """Fit all parts together by Adam on the weighted cross-entropy of the documents."""
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags)
     draw = lambda a, b: (rng.standard_normal((a, b)) / np.sqrt(a)).astype(np.float32)
     zero = lambda n: np.zeros(n, np.float32)
     model = AttentionModel(
-        every.mean(0), every.std(0) + 0.02, draw(FEATURES, size), zero(size), draw(size, gate), draw(size, gate), draw(gate, 1)[:, 0], draw(size, 1)[:, 0], zero(1)
+        *_spread(bags), draw(FEATURES, size), zero(size), draw(size, gate), draw(size, gate), draw(gate, 1)[:, 0], draw(size, 1)[:, 0], zero(1)
     )
     first, second, step = [np.zeros_like(p) for p in model.parts()], [np.zeros_like(p) for p in model.parts()], 0
     labels, weights = np.asarray(labels, np.float32), np.asarray(weights, np.float32)
@@ -138,7 +185,7 @@ def train(bags: list[np.ndarray], labels, weights, size: int = 24, gate: int = 1
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
-            found = np.concatenate([bags[i] for i in chosen])
+            found = np.concatenate([bags[i] for i in chosen]).astype(np.float32)
             lengths = np.array([len(bags[i]) for i in chosen])
             starts, doc = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(chosen)), lengths)
             scaled, coded, tanh, sigmoid, raw_ = model.hidden(found)
@@ -172,10 +219,9 @@ def scores(column: pa.Array, model: AttentionModel) -> np.ndarray:
     data, starts, ends = raw(column)
     out = np.zeros(len(starts))
 
-    def pooled(slices: list[tuple[np.ndarray, np.ndarray]], count: int) -> np.ndarray:
+    def pooled(encoded: Iterator[tuple[np.ndarray, np.ndarray]], count: int) -> np.ndarray:
         top, total, code = np.full(count, -np.inf), np.zeros(count), np.zeros((count, len(model.head)))
-        for a, b in slices:
-            found, owner = passages(data, a, b)
+        for found, owner in encoded:
             *_, coded, _, _, raw_ = model.hidden(found)
             opens = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             who = owner[opens]
@@ -189,50 +235,44 @@ def scores(column: pa.Array, model: AttentionModel) -> np.ndarray:
 
     for first, last in runs(starts, ends):
         a, b = starts[first:last], ends[first:last]
-        slices = [(a, b)] if last - first > 1 else [(np.array([x]), np.array([y])) for x, y in _cuts(data, int(a[0]), int(b[0]))]
-        out[first:last] = pooled(slices, last - first) @ model.head + model.bias[0]
+        whole = last - first > 1 or b[0] - a[0] <= SLICE
+        encoded = iter([passages(data, a, b)]) if whole else ((f, np.zeros(len(f), np.int64)) for f in slices(data, int(a[0]), int(b[0])))
+        out[first:last] = pooled(encoded, last - first) @ model.head + model.bias[0]
     # Products of single-precision matrices differ in the last digits with their shape; rounding hides that.
     return np.round(1 / (1 + np.exp(-out.clip(-500, 500))), 6)
 
 
-def _cuts(data: np.ndarray, start: int, end: int, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """A long text in slices that end at white space where there is some."""
-    while end - start > most:
-        gaps = np.flatnonzero(_SPACE[data[start : start + most]])
-        cut = start + (int(gaps[-1]) + 1 if len(gaps) else most)
-        yield start, cut
-        start = cut
-    yield start, end
-
-
 def bag(text: bytes) -> np.ndarray:
-    """At most ``SAMPLE_PASSAGES`` passages of a training text, evenly spaced."""
-    data = np.frombuffer(text, np.uint8)
-    found, _ = passages(data, np.array([0]), np.array([len(text)]))
-    if len(found) > SAMPLE_PASSAGES:
-        found = found[np.linspace(0, len(found) - 1, SAMPLE_PASSAGES).astype(int)]
-    return found
+    """All passages of a training text."""
+    return passages(np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text)]))[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, key: str = "doc_id", text: str = "text", label: str = "quality") -> AttentionModel:
     """Fit on at most ``per_class`` labelled documents a class, held-out rows excluded.
 
-    The classes weigh as all labelled rows have them. Without a labelled row of both classes the
+    Every passage of a sampled document is learned from. Where the sample has more than ``SAMPLE_PASSAGES``, each class gives fewer
+    documents, those first by their hash. The classes weigh as all labelled rows have them. Without a labelled row of both classes the
     score is the share of class 1, or a half where there are no labels at all.
     """
     rows, shares = sample(docs, labels, label, per_class, 10, key, text)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            found = [bag((t or "").encode()).astype(np.float16).tobytes() for t in part.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(found, pa.binary())], ["y", "passages"])
-
-    got, ys = [], []
-    for row in rows.mapInArrow(bags, "y int, passages binary").toLocalIterator():
-        got.append(np.frombuffer(row["passages"], np.float16).reshape(-1, FEATURES).astype(np.float32))
-        ys.append(row["y"])
+            for n, body in enumerate(part.column("body").to_pylist()):  # one by one: a text may have very many passages
+                found = bag(body.encode())
+                columns = [part.column(c).slice(n, 1) for c in ("y", "order")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(found)]), pa.array([found.astype(np.float16).tobytes()], pa.binary())], names)
+
+    names = ["y", "order", "size", "passages"]
+    every = stash(rows.mapInArrow(bags, "y int, order string, size long, passages binary"), "bags")
+    last = within([tuple(r) for r in every.select("order", "y", "size").collect()], SAMPLE_PASSAGES)
+    chosen = every.where(F.lit(False))
+    for y, order in last.items():
+        chosen = chosen.unionAll(every.where((F.col("y") == y) & (F.col("order") <= order)))
+    read = sorted(((r["order"], r["y"], r["passages"]) for r in chosen.toLocalIterator()), key=lambda r: r[0])
+    got, ys = [np.frombuffer(p, np.float16).reshape(-1, FEATURES) for _, _, p in read], [y for _, y, _ in read]
     if len(set(ys)) < 2:
-        share = sum(ys) / len(ys) if ys else 0.5
+        share = shares[1] if ys else 0.5
         flat = lambda *n: np.zeros(n, np.float32)
         bias = np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6))])
         return AttentionModel(flat(FEATURES), flat(FEATURES) + 1, flat(FEATURES, 1), flat(1), flat(1, 1), flat(1, 1), flat(1), flat(1), bias)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm.common import stash
-from strandline.llm.folds import held_out, sample
+from strandline.llm.folds import held_out, sample, within
 from strandline.llm.texts import CHUNK, raw, runs
 
 GRAMS = (3, 4, 5, 6)
@@ -155,30 +155,6 @@ def train(bags, labels, weights, size: int = 16, rounds: int = 10, batch: int =
     return model
 
 
-def within(sizes: list[tuple[str, int, int]], most: int) -> dict[int, str]:
-    """For each class the last hash to take, so that all documents up to it have ``most`` entries at most.
-
-    ``sizes`` has each document's hash, class and entries. The classes take turns, each by its smallest hash, and end together; each has
-    its first hash at least. Documents of one hash are taken together.
-    """
-    total: dict[tuple[int, str], int] = Counter()
-    for order, y, size in sizes:
-        total[y, order] += size
-    nth: Counter = Counter()
-    line = []
-    for y, order in sorted(total):
-        line.append((nth[y], y, order))
-        nth[y] += 1
-    last: dict[int, str] = {}
-    sum_ = 0
-    for n, y, order in sorted(line):
-        sum_ += total[y, order]
-        if n and sum_ > most:
-            break
-        last[y] = order
-    return last
-
-
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> SubwordModel:
     """Fit on at most ``per_class`` labelled documents a class, held-out rows excluded.
 

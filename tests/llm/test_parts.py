@@ -232,9 +232,28 @@ def test_attention_goes_on_over_slices(monkeypatch):
     docs = pa.array([text, None, "", "one", " "])
     whole = quality.scores(docs, model)
     assert whole[1] == whole[2] == whole[4] and 0 < whole.min() and whole.max() < 1
-    cuts = quality._cuts
-    monkeypatch.setattr(quality, "_cuts", lambda d, a, b: cuts(d, a, b, 2048))
-    assert quality.scores(docs[:1], model)[0] == pytest.approx(whole[0], abs=0.02)
+    monkeypatch.setattr(quality, "SLICE", 2048)
+    assert quality.scores(docs[:1], model)[0] == pytest.approx(whole[0], abs=1e-6)
+
+
+@pytest.mark.parametrize("size", [1, 700, 1024, 5000])
+def test_slices_have_the_passages_of_the_whole(monkeypatch, size):
+    rng = random.Random(size)
+    monkeypatch.setattr(quality, "SLICE", size)
+    for text in ("x" * 9000, " " * 5000 + "a " * 400 + "b" * 3000 + "\n" * 4000 + "c", "".join(rng.choice("ab  \n") for _ in range(20_000)), "word " * 3000, "  "):
+        data = np.frombuffer(b"before " + text.encode() + b"after", np.uint8)
+        whole, _ = quality.passages(data, np.array([7]), np.array([7 + len(text)]))
+        assert np.array_equal(np.concatenate(list(quality.slices(data, 7, 7 + len(text)))), whole)
+
+
+def test_passages_do_not_depend_on_their_neighbours():
+    texts_ = [b"one two", b"", b"three" * 900, b" ", b"four\n" * 100]
+    data, ends = np.frombuffer(b"".join(texts_), np.uint8), np.cumsum([len(t) for t in texts_])
+    found, owner = quality.passages(data, ends - [len(t) for t in texts_], ends)
+    for n, text in enumerate(texts_):
+        alone, _ = quality.passages(np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text)]))
+        assert np.array_equal(found[owner == n], alone)
+    assert np.bincount(owner)[2] > 3  # a word without end has bounded passages
 
 
 def test_gradient_of_attention():
