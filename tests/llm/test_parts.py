@@ -190,7 +190,7 @@ def test_dual_tree_is_exact(kind):
     }[kind].astype(float)
     queries = data[::9]
     own = np.arange(0, len(data), 9)
-    search = topk.Search(queries, data, own, np.arange(len(data)), 5)
+    search = topk.Search(queries, data, own, 5)
     search.run()
     scores = queries @ data.T
     for n, row in enumerate(scores):
@@ -203,7 +203,7 @@ def test_cover_tree_prunes_clusters():
     rng = np.random.default_rng(4)
     centers = rng.normal(0, 1000, (12, 16))
     data = np.floor(np.concatenate([c + rng.normal(0, 5, (300, 16)) for c in centers]))
-    search = topk.Search(data[:100], data, np.arange(100), np.arange(len(data)), 5)
+    search = topk.Search(data[:100], data, np.arange(100), 5)
     met = []
     compare = search._compare
     search._compare = lambda q, r: (met.append(len(q) * len(r)), compare(q, r))
