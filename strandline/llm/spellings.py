@@ -17,7 +17,8 @@ from strandline.llm.common import stash
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LEAST_LETTERS, LEAST_TIMES = 5, 3
 LEAST_GROUPS = 8
-BUCKET_WORDS = 5_000  # of one bucket; beyond that the trie's next level parts it
+COMMON = "enisratdhulcgmobwfkzpvéüäöyjèxqßàçêñóíáú"  # letters, roughly by how common they are
+BUCKET_WORDS = 20_000  # of one bucket; beyond that the trie's next level parts it
 PART_ROWS = 40_000  # words and visitors of the buckets that one task takes
 LEAF_PAIRS = 512  # a node with no more pairs of a word and a visitor is a leaf
 VERIFIED = 100_000  # pairs that are compared at once
@@ -50,48 +51,86 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", change
     return given.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TIMES)
 
 
+def _ranks() -> np.ndarray:
+    """For each code point up to U+00FF its place: the common letters first, the rest in their order."""
+    ranks = np.full(256, -1)
+    rest = [c for c in map(chr, range(256)) if c not in COMMON]
+    ranks[[ord(c) for c in [*COMMON, *rest]]] = np.arange(256)
+    return ranks
+
+
 def group_counts(words: list[str], groups: int) -> np.ndarray:
-    """For each word how many of its letters fall into each letter group, by code point; 255 at most."""
+    """For each word how many letters it has, and how many of them in each of ``groups`` letter groups; 255 at most."""
     lengths = np.array([len(w) for w in words], np.int64)
     letters = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
-    cell = np.repeat(np.arange(len(words)), lengths) * groups + letters % groups
-    return np.bincount(cell, minlength=len(words) * groups).clip(0, 255).astype(np.uint8).reshape(-1, groups)
-
-
-def budgets(given: np.ndarray, surplus: int = 1, deficit: int = 1) -> list[bytes]:
-    """All count vectors that differ from ``given`` by a surplus and a deficit of so many at most."""
-    found = [given.tobytes()]
-    ups = [(None, given)] + [(i, given + (np.arange(len(given)) == i)) for i in range(len(given)) if given[i] < 255] * surplus
-    for i, up in ups:
-        if i is not None:
-            found.append(up.astype(np.uint8).tobytes())
-        for j in range(len(given)) if deficit else ():
-            if j != i and given[j]:
-                down = up.copy()
-                down[j] -= 1
-                found.append(down.astype(np.uint8).tobytes())
-    return found
-
-
-def apart_by_one(a: list[str], b: list[str]) -> np.ndarray:
-    """For each pair of unlike words whether one inserted, deleted or replaced letter makes them equal."""
-    found = np.zeros(len(a), bool)
-    small = [n for n, (x, y) in enumerate(zip(a, b)) if max(len(x), len(y)) <= WIDE]
-    for n in set(range(len(a))).difference(small) if len(small) < len(a) else ():
-        x, y = sorted((a[n], b[n]), key=len)
-        at = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), len(x))
-        found[n] = x != y and (x[at + 1 :] == y[at + 1 :] if len(x) == len(y) else x[at:] == y[at + 1 :])
-    if small:
-        x, y = (np.array([w[n].encode("latin-1") for n in small], f"S{WIDE + 1}").view(np.uint8).reshape(len(small), -1) for w in (a, b))
-        long, wide = (x != 0).sum(1), (y != 0).sum(1)
-        swap = (long > wide)[:, None]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
+    cell = np.repeat(np.arange(len(words)), lengths) * groups + (_ranks() % groups)[letters]
+    counts = np.bincount(cell, minlength=len(words) * groups).reshape(-1, groups)
+    return np.concatenate([lengths[:, None], counts], 1).clip(0, 255).astype(np.uint8)
+
+
+def budgets(first: bytes) -> list[bytes]:
+    """The beginnings of counts that a word one letter apart may have, ``first`` being those of a word.
+
+    One group may have a letter more, another one fewer, or groups that are not among the first. The whole word has as many letters, or,
+    unless one is more and another fewer, one more or one fewer.
+    """
+    found = set()
+    for up in range(len(first)):
+        for down in range(len(first)):
+            if up and up == down:
+                continue
+            steps = {(up > 0) - (down > 0)} | ({-1, 1} if up == down == 0 else set()) | ({0} if not (up and down) else set())
+            for step in steps:
+                other = list(first)
+                other[0] += step
+                other[up] += up > 0
+                other[down] -= down > 0
+                if min(other) >= 0:
+                    found.add(bytes(min(c, 255) for c in other))
+    return sorted(found)
+
+
+class Letters:
+    """Some words, and which pairs of them one inserted, deleted or replaced letter makes equal."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        self.lengths = np.array([len(w) for w in words], np.int64)
+        width = int(self.lengths.max(initial=0).clip(4, WIDE)) + 1
+        lines = [w[:WIDE].encode("latin-1") for w in words]
+        self.table = np.array(lines, f"S{width}").view(np.uint8).reshape(len(words), width)
+        self.ends = [np.array([x[:2] for x in lines], "S2").view(np.uint16), np.array([w[-2:].encode("latin-1") for w in words], "S2").view(np.uint16)]
+
+    def apart_by_one(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """For each pair of numbers of words whether they are one letter apart."""
+        long, wide = self.lengths[left], self.lengths[right]
+        # One letter's change leaves two letters at one end alone, in words long enough.
+        found = np.minimum(long, wide) < 4
+        for end in self.ends:
+            found |= end[left] == end[right]
+        found &= np.abs(long - wide) <= 1
+        at = np.flatnonzero(found)
+        short = np.maximum(long[at], wide[at]) <= WIDE
+        found[at] = False
+        for n in at[~short]:
+            found[n] = self._apart(self.words[left[n]], self.words[right[n]])
+        at = at[short]
+        swap = long[at] > wide[at]
+        x, y = self.table[np.where(swap, right[at], left[at])], self.table[np.where(swap, left[at], right[at])]
         unlike = x != y
-        after = np.cumsum(unlike, 1) > 0  # from the first unlike letter on
-        shifted = (x[:, :-1] != y[:, 1:]) & after[:, :-1]
-        gap = np.abs(long - wide)
-        found[small] = np.where(gap == 0, unlike.sum(1) == 1, (gap == 1) & ~shifted.any(1))
-    return found
+        many = unlike.sum(1)
+        same = long[at] == wide[at]
+        found[at[same]] = many[same] == 1
+        x, y, unlike = x[~same], y[~same], unlike[~same]
+        after = np.logical_or.accumulate(unlike, 1)[:, :-1]  # from the first unlike letter on
+        found[at[~same]] = ~((x[:, :-1] != y[:, 1:]) & after).any(1)
+        return found
+
+    @staticmethod
+    def _apart(x: str, y: str) -> bool:
+        x, y = sorted((x, y), key=len)
+        at = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), len(x))
+        return x != y and (x[at + 1 :] == y[at + 1 :] if len(x) == len(y) else x[at:] == y[at + 1 :])
 
 
 class Trie:
@@ -105,8 +144,8 @@ class Trie:
     def meet(self, visitors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Numbers of words and of visitors that may be one letter apart, leaf by leaf, depth first.
 
-        A visitor may have one letter more than a word in one group and one fewer in another. Each level
-        spends what its counts differ by; a visitor that has nothing left to spend goes no further down.
+        A visitor may have one letter more than a word in one group and one fewer in another. Each level below the first, which has
+        the number of all letters, spends what its counts differ by; a visitor that has nothing left to spend goes no further down.
         """
         every = np.arange(len(visitors))
         stack = [(0, len(self.order), 0, every, np.ones(len(every), np.int8), np.ones(len(every), np.int8))]
@@ -120,6 +159,10 @@ class Trie:
             own = visitors[who, depth].astype(np.int16)
             for a, b in zip(opens, np.append(opens[1:], high - low)):
                 over = own - int(column[a])
+                if depth == 0:
+                    fit = np.flatnonzero(np.abs(over) <= 1)
+                    stack.append((low + a, low + b, 1, who[fit], surplus[fit] - (over[fit] < 0), deficit[fit] - (over[fit] > 0)))
+                    continue
                 fit = np.flatnonzero((over == 0) | ((over == 1) & (surplus > 0)) | ((over == -1) & (deficit > 0)))
                 if len(fit):
                     stack.append((low + a, low + b, depth + 1, who[fit], surplus[fit] - (over[fit] == 1), deficit[fit] - (over[fit] == -1)))
@@ -128,10 +171,11 @@ class Trie:
 PAIRS = pa.schema([("a", pa.string()), ("a_n", pa.int64()), ("b", pa.string()), ("b_n", pa.int64())])
 
 
-def _verified(words: list[str], n: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.Table:
-    near = apart_by_one([words[i] for i in left], [words[i] for i in right])
+def _verified(letters: Letters, n: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> pa.Table:
+    left, right = np.concatenate(left), np.concatenate(right)
+    near = letters.apart_by_one(left, right)
     left, right = left[near], right[near]
-    columns = [pa.array([words[i] for i in left], pa.string()), pa.array(n[left]), pa.array([words[i] for i in right], pa.string()), pa.array(n[right])]
+    columns = [pa.array([letters.words[i] for i in left], pa.string()), pa.array(n[left]), pa.array([letters.words[i] for i in right], pa.string()), pa.array(n[right])]
     return pa.table(columns, schema=PAIRS)
 
 
@@ -140,7 +184,7 @@ def _near_in(part: pa.Table, groups: int) -> pa.Table:
     part = part.sort_by("bucket").combine_chunks()
     words, n, home = part["word"].to_pylist(), part["n"].to_numpy(), np.array(part["home"])
     bucket = part["bucket"].to_pylist()
-    counts = group_counts(words, groups)
+    counts, letters = group_counts(words, groups), Letters(words)
     opens = [i for i in range(len(words)) if i == 0 or bucket[i] != bucket[i - 1]]
     found, left, right, held = [], [], [], 0
     for a, b in zip(opens, [*opens[1:], len(words)]):
@@ -154,10 +198,10 @@ def _near_in(part: pa.Table, groups: int) -> pa.Table:
             right.append(other[fit])
             held += int(fit.sum())
             if held >= VERIFIED:
-                found.append(_verified(words, n, np.concatenate(left), np.concatenate(right)))
+                found.append(_verified(letters, n, left, right))
                 left, right, held = [], [], 0
     if held:
-        found.append(_verified(words, n, np.concatenate(left), np.concatenate(right)))
+        found.append(_verified(letters, n, left, right))
     return pa.concat_tables(found) if found else PAIRS.empty_table()
 
 
@@ -186,8 +230,9 @@ def _by_deletions(visits: DataFrame) -> DataFrame:
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = apart_by_one(batch.column("a").to_pylist(), batch.column("b").to_pylist())
-            yield batch.filter(pa.array(near))
+            many = np.arange(batch.num_rows)
+            letters = Letters(batch.column("a").to_pylist() + batch.column("b").to_pylist())
+            yield batch.filter(pa.array(letters.apart_by_one(many, many + batch.num_rows)))
 
     return pairs.distinct().mapInArrow(checked, "a string, a_n long, b string, b_n long")
 
@@ -210,17 +255,20 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
 
     words = stash(vocabulary.select("word", "n").mapInArrow(placed, "word string, n long, counts binary"), "words")
     alike = stash(words.groupBy("counts").agg(F.count(F.lit(1)).alias("n")), "counts")
-    levels = alike.select("n", "counts", F.explode(F.sequence(F.lit(1), F.lit(groups))).alias("level"))
+    levels = alike.select("n", "counts", F.explode(F.sequence(F.lit(1), F.lit(groups + 1))).alias("level"))
     sizes = levels.groupBy("level", F.expr("substring(counts, 1, level)").alias("bucket")).agg(F.sum("n").alias("n"))
     largest = {r["level"]: r["n"] for r in sizes.groupBy("level").agg(F.max("n").alias("n")).collect()}  # a row a level
-    level = next((k for k in range(1, groups) if largest.get(k, 0) <= BUCKET_WORDS), groups)
+    level = next((k for k in range(1, groups + 1) if largest.get(k, 0) <= BUCKET_WORDS), groups + 1)
 
     def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list[bytes]] = {}
         for batch in batches:
             row, bucket, home = [], [], []
             for n, counts in enumerate(batch.column("counts").to_pylist()):
                 own = counts[:level]
-                later = [b for b in budgets(np.frombuffer(own, np.uint8)) if b > own]
+                later = known.get(own)
+                if later is None:
+                    later = known[own] = [b for b in budgets(own) if b > own]
                 row += [n] * (len(later) + 1)
                 bucket += [own, *later]
                 home += [True] + [False] * len(later)

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from strandline.llm import spellings
@@ -73,6 +74,7 @@ def test_a_form_leads_to_the_last(spark):
 def test_pruning_meets_few_pairs(words):
     short = [w for w in words if len(w) < 50]
     counts = spellings.group_counts(short, 12)
+    assert (counts[:, 1:].sum(1) == counts[:, 0]).all() and counts[:, 0].tolist() == [len(w) for w in short]
     met = sum(len(a) for a, _ in spellings.Trie(counts).meet(counts))
     assert met < len(short) ** 2 / 4
 
@@ -89,3 +91,12 @@ def test_occurrences(spark):
     assert dict(map(tuple, spellings.occurrences(given, change=lambda key, run: run + run if len(run) > 2 else run).collect())) == doubled
     assert spellings.occurrences(given.limit(0)).collect() == []
     assert spellings.variants(spellings.occurrences(given.limit(0))).collect() == []
+
+
+def test_letters_of_every_pair(words):
+    some = [w for w in words if len(w) > 60 or len(w) < 6] + ["", "a", "ab", "b", "abc", "acb", "Àb"]
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(len(some)), np.arange(len(some))))
+    found = spellings.Letters(some).apart_by_one(left, right)
+    for a, b, near in zip(left, right, found):
+        if len(some[a]) < 1000 or len(some[b]) < 1000:
+            assert near == one_apart(some[a], some[b])
