@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,18 @@ BUCKET_BYTES = 24 << 20  # super-k-mer text that one group should hold
 BUCKETS_PER_PARTITION = 2
 SLICE = 2 << 20  # bytes of text handled in one go
 SENT_BYTES = 24 << 20  # super-k-mer text that a task holds before it packs it
-SAMPLE_DOCS = 20_000  # looked at for minimisers so common that their windows travel one by one
-HOT_SHARE = 0.002  # of the sampled documents
-MOST_HOT = 10_000
+SPANS_HELD = 100_000  # spans that a task holds before it packs them
+SAMPLE_DOCS, SAMPLE_EVERY = 20_000, 1000  # so many documents are looked at for common windows and minimisers, or one in so many, if that is more
+COMMON_TIMES = 8  # a minimiser found so often in the sample may have common windows
+MOST_COMMON, MOST_KNOWN = 10_000, 200_000  # such minimisers, and windows of theirs, that every task is told of
+HOT_BYTES = BUCKET_BYTES // 4  # estimated text of a minimiser beyond which its runs are cut again
+CELL_BITS = 22  # minimisers are counted in so many cells, a power of two; one bit of each is told to every task
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PLACES = (np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-KIND_RUNS, KIND_WINDOWS, KIND_SPANS = 0, 1, 2
+KIND_RUNS, KIND_SPANS = 0, 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,6 +69,25 @@ class Words:
             self.hash = np.zeros(0, np.uint64)
 
 
+def _grams(words: Words) -> np.ndarray:
+    """A hash of each ``SEED_WORDS`` consecutive words."""
+    count = words.count - SEED_WORDS + 1
+    found = np.zeros(count, np.uint64)
+    for k in range(SEED_WORDS):
+        found += words.hash[k : k + count] * _PLACES[7 * k + 3]
+    return _mix(found)
+
+
+def _least(grams: np.ndarray) -> np.ndarray:
+    """The least gram of each window."""
+    least, span, width = grams, 1, WINDOW - SEED_WORDS + 1
+    while span < width:
+        step = min(span, width - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    return least
+
+
 def super_kmers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that share a minimiser: each run's first window, how many windows, and the minimiser.
 
@@ -73,15 +96,7 @@ def super_kmers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = words.count - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = words.count - SEED_WORDS + 1
-    least = np.zeros(grams, np.uint64)
-    for k in range(SEED_WORDS):
-        least += words.hash[k : k + grams] * _PLACES[7 * k + 3]
-    least, span, width = _mix(least), 1, WINDOW - SEED_WORDS + 1
-    while span < width:
-        step = min(span, width - span)
-        least = np.minimum(least[:-step], least[step:])
-        span += step
+    least = _least(_grams(words))
     whole = words.doc[:n] == words.doc[WINDOW - 1 :]
     opens = np.ones(n, bool)
     opens[1:] = (least[1:] != least[:-1]) | (words.doc[1:n] != words.doc[: n - 1]) | ~whole[:-1]
@@ -90,6 +105,19 @@ def super_kmers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, every[np.searchsorted(every, first, "right")] - first, least[first]
 
 
+def cut_again(grams: np.ndarray, first: int, many: int, least: np.uint64) -> Iterator[tuple[int, int, np.uint64]]:
+    """A run of windows cut where their second-least gram changes: first window, how many, and a key of both grams.
+
+    Equal windows have equal keys. Where a window has one gram only, over and over, that is both.
+    """
+    own = grams[first : first + many + WINDOW - SEED_WORDS]
+    second = _least(np.where(own == least, np.uint64(2**64 - 1), own))
+    opens = np.flatnonzero(np.concatenate([[True], second[1:] != second[:-1]]))
+    keys = _mix(second[opens] ^ (least * np.uint64(0x9E3779B97F4A7C15)))
+    for a, b, key in zip(opens.tolist(), np.append(opens[1:], many).tolist(), keys):
+        yield first + a, b - a, key
+
+
 def _blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
     """The words of runs of texts, which text each run's texts are, and the number of each one's first word.
 
@@ -142,58 +170,93 @@ def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return group, np.diff(np.append(at, len(order))), order[at]
 
 
-def _sent(buckets: int, hot: np.ndarray):
-    """What a task makes of its documents: packed super-k-mers by bucket.
+@dataclass
+class Common:
+    """What a sample tells of all documents: windows that are known to repeat, their minimisers, and cells of minimisers with much text."""
+
+    minimisers: np.ndarray
+    windows: frozenset[bytes]
+    cells: np.ndarray
+
+    def warm(self, least: np.ndarray) -> np.ndarray:
+        if not len(self.minimisers):
+            return np.zeros(len(least), bool)
+        return self.minimisers[np.searchsorted(self.minimisers, least).clip(0, len(self.minimisers) - 1)] == least
+
+    def hot(self, least: np.ndarray) -> np.ndarray:
+        cell = least >> np.uint64(64 - CELL_BITS)
+        return (self.cells[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _digests(words: Words, first: int, many: int) -> list[bytes]:
+    """128-bit hashes of the words of consecutive windows."""
+    line = words.line
+    return [xxhash.xxh3_128_digest(line[a:b]) for a, b in zip(words.at[first : first + many].tolist(), (words.at[first + WINDOW : first + many + WINDOW] - 1).tolist())]
+
+
+def _sent(buckets: int, common: Common):
+    """What a task makes of its documents: packed super-k-mers by bucket, and spans of windows known to repeat.
 
-    Windows of a ``hot`` minimiser travel alone, as 128-bit hashes of their words, to the bucket of the hash.
-    Those that repeat within the batch are settled at once, and one of each is sent on.
+    Windows of a common minimiser that a sample holds twice are settled on the spot; what is left of their runs goes on
+    like others. Runs of a minimiser with much text are cut again by the second-least gram and go by both.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts, ends = raw(batch.column("body"))
             runs_, held = [], 0
-            lone, lone_row, lone_start = [], [], []
+            known: list[tuple[int, int, int]] = []
             for words, texts, number in _blocks(data, starts, ends):
                 first, many, least = super_kmers(words)
                 if not len(first):
                     continue
-                doc = words.doc[first]
                 begin = np.searchsorted(words.doc, np.arange(len(texts)))
+                warm, hot = common.warm(least), common.hot(least)
+                plain = ~(warm | hot)
+                first_, many_, key = [first[plain]], [many[plain]], [least[plain]]
+                again: list[tuple[int, int, np.uint64]] = []
+                for n in np.flatnonzero(warm):
+                    seen = np.array([d in common.windows for d in _digests(words, int(first[n]), int(many[n]))])
+                    edges = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+                    doc = words.doc[first[n]]
+                    for a, b in zip(edges.tolist(), np.append(edges[1:], len(seen)).tolist()):
+                        if seen[a]:
+                            start = int(first[n]) + a - int(begin[doc]) + int(number[doc])
+                            known.append((int(texts[doc]), start, start + b - a + WINDOW - 1))
+                        else:
+                            again.append((int(first[n]) + a, b - a, least[n]))
+                again += [(int(first[n]), int(many[n]), least[n]) for n in np.flatnonzero(hot & ~warm)]
+                if again:
+                    grams = _grams(words)
+                    cut = [c for run in again for c in (cut_again(grams, *run) if common.hot(run[2][None])[0] else [run])]
+                    first_.append(np.array([c[0] for c in cut], np.int64))
+                    many_.append(np.array([c[1] for c in cut], np.int64))
+                    key.append(np.array([c[2] for c in cut], np.uint64))
+                first, many, key_ = np.concatenate(first_), np.concatenate(many_), np.concatenate(key)
+                doc = words.doc[first]
                 own = first - begin[doc] + number[doc]
-                warm = hot[np.searchsorted(hot, least).clip(0, max(0, len(hot) - 1))] == least if len(hot) else np.zeros(len(first), bool)
-                cold = np.flatnonzero(~warm)
-                line, begins, ends_ = words.line, words.at[first[cold]], words.at[first[cold] + many[cold] + WINDOW - 1] - 1
-                runs_.append((least[cold], texts[doc[cold]], own[cold], [line[a:b] for a, b in zip(begins.tolist(), ends_.tolist())]))
+                line, begins, ends_ = words.line, words.at[first], words.at[first + many + WINDOW - 1] - 1
+                runs_.append((key_, texts[doc], own, [line[a:b] for a, b in zip(begins.tolist(), ends_.tolist())]))
                 held += int((ends_ - begins).sum())
-                if held > SENT_BYTES:
-                    yield _batch(list(_packed_runs(batch, runs_, buckets)))
-                    runs_, held = [], 0
-                for k in np.flatnonzero(warm):
-                    places = np.arange(first[k], first[k] + many[k])
-                    lone += [xxhash.xxh3_128_digest(line[a:b]) for a, b in zip(words.at[places].tolist(), (words.at[places + WINDOW] - 1).tolist())]
-                    lone_row.append(np.full(many[k], texts[doc[k]]))
-                    lone_start.append(own[k] + np.arange(many[k]))
-            rows = list(_packed_runs(batch, runs_, buckets))
-            if lone:
-                row, start = np.concatenate(lone_row), np.concatenate(lone_start)
-                window = np.frombuffer(b"".join(lone), "<u8").reshape(-1, 2)
-                group, counts, one = _groups(window[:, 0], window[:, 1])
-                ids = {c: batch.column(c).take(pa.array(row)) for c in ("r1", "r2")}
-                twice = np.flatnonzero(counts[group] > 1)
-                if len(twice):
-                    spans = {c: ids[c].take(pa.array(twice)) for c in ids}
-                    spans |= {"first": pa.array(start[twice]), "last": pa.array(start[twice] + WINDOW)}
-                    rows += _packed(spans, spans["r1"].to_numpy() % buckets, KIND_SPANS)
-                columns = {"a": pa.array(window[one, 0]), "b": pa.array(window[one, 1])}
-                columns |= {c: ids[c].take(pa.array(one)) for c in ids} | {"start": pa.array(start[one])}
-                rows += _packed(columns, (window[one, 0] % np.uint64(buckets)).astype(np.int64), KIND_WINDOWS)
-            if rows:
+                if held > SENT_BYTES or len(known) > SPANS_HELD:
+                    if rows := [*_packed_runs(batch, runs_, buckets), *_packed_spans(batch, known, buckets)]:
+                        yield _batch(rows)
+                    runs_, held, known = [], 0, []
+            if rows := [*_packed_runs(batch, runs_, buckets), *_packed_spans(batch, known, buckets)]:
                 yield _batch(rows)
 
     return send
 
 
+def _packed_spans(batch: pa.RecordBatch, known: list[tuple[int, int, int]], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Spans of a batch's documents that are settled."""
+    if not known:
+        return
+    row, first, last = (np.array(x, np.int64) for x in zip(*known))
+    columns = {c: batch.column(c).take(pa.array(row)) for c in ("r1", "r2")} | {"first": pa.array(first), "last": pa.array(last)}
+    yield from _packed(columns, columns["r1"].to_numpy() % buckets, KIND_SPANS)
+
+
 def _packed_runs(batch: pa.RecordBatch, runs_: list, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """Super-k-mers of a batch's documents: their minimisers, documents, first words and texts."""
     if not any(len(texts) for *_, texts in runs_):
@@ -284,19 +347,13 @@ def _spans(runs_: pa.Table) -> pa.RecordBatch:
 
 
 def _settled(group: pa.Table) -> pa.Table:
-    """One bucket: the spans that its super-k-mers and single windows have in common with others."""
+    """One bucket: the spans that its super-k-mers have in common with others, and those settled before."""
     kind = group["kind"].to_numpy()
     blobs = group["blob"].combine_chunks()
     of = lambda k: [b.as_py() for b in blobs.take(pa.array(np.flatnonzero(kind == k)))]
     found = [SPANS.empty_table()]
     if found_runs := of(KIND_RUNS):
         found.append(_spans(_unpacked(found_runs)))
-    if windows := of(KIND_WINDOWS):
-        table = _unpacked(windows)
-        which, counts, _ = _groups(table["a"].to_numpy(), table["b"].to_numpy())
-        twice = table.take(pa.array(np.flatnonzero(counts[which] > 1)))
-        start = twice["start"].to_numpy()
-        found.append(twice.select(["r1", "r2"]).append_column("first", pa.array(start)).append_column("last", pa.array(start + WINDOW)))
     if spans := of(KIND_SPANS):
         found.append(_unpacked(spans))
     return pa.concat_tables(f.cast(SPANS) for f in found)
@@ -305,24 +362,51 @@ def _settled(group: pa.Table) -> pa.Table:
 SPANS = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
 
-def _common(given: DataFrame, docs: int) -> np.ndarray:
-    """Minimisers found in more than ``HOT_SHARE`` of a sample of documents, the most common first, sorted.
+def _common(given: DataFrame, docs: int) -> Common:
+    """What a sample of documents, picked by a hash, tells of common windows and minimisers.
 
-    They only decide how windows travel, not what is found, so a sample will do. It is picked by a hash.
+    It decides how windows travel, not which are found: a window that the sample holds twice does repeat, and
+    runs may be cut anywhere that equal windows agree on. Minimisers are counted in ``2 ** CELL_BITS`` cells, so that the answer is bounded at any size; those
+    that share a cell are cut more than they need to be.
     """
-    every = max(1, math.ceil(docs / SAMPLE_DOCS))
-    sample = given.where(F.pmod(F.col("r1"), F.lit(every)) == 0) if every > 1 else given
+    every = max(1, min(SAMPLE_EVERY, docs // SAMPLE_DOCS))
+    sample = (given.where(F.pmod(F.col("r1"), F.lit(every)) == 0) if every > 1 else given).select("body")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [least for words, _, _ in _blocks(*raw(batch.column("body"))) for least in [super_kmers(words)[2]]]
-            mini, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(mini.view(np.int64)), pa.array(n)], ["mini", "n"])
+            found, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for words, _, _ in _blocks(*raw(batch.column("body"))):
+                first, many, least = super_kmers(words)
+                found.append(least)
+                sizes.append(words.at[first + many + WINDOW - 1] - words.at[first])
+            mini, which, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+            size = np.bincount(which, np.concatenate(sizes), len(mini)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(mini.view(np.int64)), pa.array(n), pa.array(size)], ["mini", "n", "size"])
+
+    counts = stash(sample.mapInArrow(counted, "mini long, n long, size long").groupBy("mini").agg(F.sum("n").alias("n"), F.sum("size").alias("size")), "minimisers")
+    top = counts.where(F.col("n") >= COMMON_TIMES).orderBy(F.desc("n"), "mini").limit(MOST_COMMON).collect()
+    minimisers = np.sort(np.array([r["mini"] for r in top], np.int64).view(np.uint64))
+    cell = F.shiftrightunsigned("mini", 64 - CELL_BITS)
+    full = counts.groupBy(cell.alias("cell")).agg(F.sum("size").alias("size")).where(F.col("size") * every > HOT_BYTES)
+    bits = full.groupBy(F.expr("cell div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(cell % 32))")).alias("bits"))
+    cells = np.zeros(2**CELL_BITS // 32, np.uint32)
+    for r in bits.collect():  # a row 32 cells at most
+        cells[r["word"]] = r["bits"]
+    common = Common(minimisers, frozenset(), cells.view(np.uint8))
+    if not len(minimisers):
+        return common
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, _, _ in _blocks(*raw(batch.column("body"))):
+                first, many, least = super_kmers(words)
+                found = [d for n in np.flatnonzero(common.warm(least)) for d in _digests(words, int(first[n]), int(many[n]))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["window"])
 
-    least = max(32, math.ceil(HOT_SHARE * docs / every))
-    counts = sample.select("body").mapInArrow(counted, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") > least).orderBy(F.desc("n"), "mini").limit(MOST_HOT).collect()
-    return np.sort(np.array([r["mini"] for r in top], np.int64).view(np.uint64))
+    twice = sample.mapInArrow(windows, "window binary").groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = twice.orderBy(F.desc("n"), "window").limit(MOST_KNOWN).select("window").collect()
+    return Common(minimisers, frozenset(bytes(r["window"]) for r in best), common.cells)
 
 
 def repeated_spans(given: DataFrame) -> DataFrame:
@@ -330,14 +414,16 @@ def repeated_spans(given: DataFrame) -> DataFrame:
 
     ``given`` has ``r1`` and ``r2``, which name a row, and ``body``. Consecutive windows with one minimiser travel as
     one string to the minimiser's bucket; a bucket's strings from a batch are packed together. Buckets
-    hold a bounded amount of text. Minimisers so common that their bucket would not be, like those in a
-    passage that many documents share, have their windows sent one by one, by a hash of 128 bits.
+    hold a bounded amount of text: windows of passages that many documents share are known from a sample and stay where they are, and runs of
+    minimisers that have much text all the same go by their second-least gram too. There are as many
+    partitions as the text asks for.
     """
     known = given.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
     partitions = int(given.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(BUCKETS_PER_PARTITION * partitions, math.ceil(3 * known[1] / BUCKET_BYTES))
     sent = given.mapInArrow(_sent(buckets, _common(given, known[0])), "bucket long, kind byte, blob binary")
-    return sent.groupBy("bucket").applyInArrow(_settled, "r1 long, r2 long, first long, last long")
+    dealt = sent.repartition(max(partitions, buckets // BUCKETS_PER_PARTITION), "bucket")
+    return dealt.groupBy("bucket").applyInArrow(_settled, "r1 long, r2 long, first long, last long")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:

@@ -89,15 +89,22 @@ def test_roots_of_long_paths_and_stars(spark):
     assert found == {i: 0 for i in range(1, 61)} | {i: 1000 for i in range(1001, 1300)}
 
 
-@pytest.mark.parametrize("share", [0, 2])
-def test_repeats_when_minimisers_are_common(spark, monkeypatch, share):
-    """Every second minimiser, or none, sends its windows one by one; results are the same."""
+@pytest.mark.parametrize("known, hot", [(True, False), (False, True), (True, True), (False, False)])
+def test_repeats_when_windows_and_minimisers_are_common(spark, monkeypatch, known, hot):
+    """Every third repeated window known, or none; every second cell of minimisers cut again, or none; results are the same."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     rows = docs.collect()
     texts = [r["text"] or "" for r in rows]
     data, firsts = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts])[:-1]
-    hot = np.unique(substrings.super_kmers(substrings.Words(data, firsts))[2])
-    monkeypatch.setattr(substrings, "_common", lambda given, count: hot[::share] if share else hot[:0])
+    words = substrings.Words(data, firsts)
+    first, many, least = substrings.super_kmers(words)
+    counts = Counter(d for f, m in zip(first, many) for d in substrings._digests(words, int(f), int(m)))
+    twice = sorted(d for d, n in counts.items() if n > 1)
+    assert len(twice) > 300
+    cells = np.full(2**substrings.CELL_BITS // 8, 0x55 if hot else 0, np.uint8)
+    plan = substrings.Common(np.unique(least) if known else least[:0], frozenset(twice[::3] if known else ()), cells)
+    monkeypatch.setattr(substrings, "_common", lambda given, count: plan)
+    monkeypatch.setattr(substrings, "SENT_BYTES", 100_000)
     split, gone = brute.without_repeats(texts)
     expected = {r["doc_id"]: " ".join(w for w, g in zip(ws, gs) if not g) for r, ws, gs in zip(rows, split, gone)}
     found = substrings.without_repeats(docs, with_text=True).collect()
@@ -105,12 +112,38 @@ def test_repeats_when_minimisers_are_common(spark, monkeypatch, share):
     assert sum(r["n_removed"] for r in found) == sum(map(sum, gone)) > 0
 
 
-def test_common_minimisers_are_found(spark):
-    passage = " ".join(f"p{i}" for i in range(50))
-    rows = [(i, f"{' '.join(f'd{i}x{k}' for k in range(40))} {passage}") for i in range(100)]
-    given = spark.createDataFrame(rows, "r1 long, body string")
-    hot = substrings._common(given, 100)
-    assert 0 < len(hot) < 20
+def shared_passage(docs, share):
+    """Documents of unlike words, one in ``share`` of which holds the same passage, and all of which hold one phrase."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    for i in range(docs):
+        body = [f"d{i}x{k}" for k in range(60)]
+        yield i, " ".join([*body[:20], "the phrase that all of them have", *body[20:], *([passage] if i % share == 0 else [])])
+
+
+def test_common_windows_are_known_from_a_sample(spark):
+    given = spark.createDataFrame(list(shared_passage(400, 20)), "r1 long, body string")
+    common = substrings._common(given, 400)
+    assert len(common.windows) == 26 and 0 < len(common.minimisers) < 60
+    assert substrings._common(given.limit(0), 0).windows == frozenset()
+
+
+def test_no_bucket_is_large(spark, monkeypatch):
+    """A passage in one document of a thousand, and a phrase in all: no bucket gets more than four times what it should hold."""
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 100_000)
+    monkeypatch.setattr(substrings, "HOT_BYTES", 25_000)
+    monkeypatch.setattr(substrings, "SAMPLE_DOCS", 4000)
+    rows = [(i, i, t) for i, t in shared_passage(20_000, 1000)]
+    given = spark.createDataFrame(rows, "r1 long, r2 long, body string").repartition(8)
+    common = substrings._common(given, len(rows))
+    assert common.cells.any()
+    buckets = 3 * sum(len(t) for _, _, t in rows) // 100_000
+    sent = given.mapInArrow(substrings._sent(buckets, common), "bucket long, kind byte, blob binary")
+    sizes = Counter()
+    for r in sent.where("kind = 0").toLocalIterator():
+        sizes[r["bucket"]] += sum(map(len, substrings._unpacked([r["blob"]])["text"].to_pylist()))
+    assert max(sizes.values()) < 400_000
+    found = substrings.repeated_spans(given).groupBy("r1").count().collect()
+    assert {r["r1"] for r in found} == set(range(0, 20_000, 1000))
 
 
 def test_filter_of_repeats_misses_none(spark, monkeypatch):
