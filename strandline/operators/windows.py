@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from strandline.operators.hot import GROUP
 from strandline.operators.joins import interval_totals, salted_join
 from strandline.operators.scan import HOT, Wanted, drop_segments, find_split, scan
+from strandline.sources import written
 
 
 def row_numbers(
@@ -20,6 +21,28 @@ def row_numbers(
     return scan(df, keys, order, Wanted(sums={name: F.lit(1).cast("bigint")}))
 
 
+def numbered_in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Number all rows from 1 by ``order``, whole: the rows are exchanged once.
+
+    Rows are range-partitioned, sorted and written to the scratch folder with their place in their partition;
+    what comes before each partition is a number per partition, added up on the driver. Rows alike in all order columns may lie in
+    several partitions and are numbered as they come. An empty table gives an empty result.
+    """
+    # The row's own place parts a value that very many rows share.
+    given = df.withColumn("__own", F.monotonically_increasing_id())
+    ranged = given.repartitionByRange(*order, "__own").sortWithinPartitions(*order, "__own").drop("__own")
+    ranged = written(ranged.withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__at", 33)
+    sizes = ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    starts, before = [], 0
+    for row in sorted(sizes):
+        starts += [F.lit(row["part"]).cast("bigint"), F.lit(before).cast("bigint")]
+        before += row["n"]
+    start = F.create_map(*starts)[part] if starts else F.lit(0).cast("bigint")
+    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.withColumn(name, start + within + 1).drop("__at")
+
+
 def tiles(df: DataFrame, keys: list[str], order: list[str], n: int, name: str) -> DataFrame:
     """Split each group into ``n`` tiles of like size, as NTILE does: larger tiles come first."""
     one = F.lit(1).cast("bigint")

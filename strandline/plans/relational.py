@@ -8,7 +8,7 @@ from strandline.functions import units
 from strandline.operators import sets
 from strandline.operators.joins import best_per_key
 from strandline.operators.recursion import recurse
-from strandline.operators.windows import row_numbers
+from strandline.operators.windows import numbered_in_order
 from strandline.plans.registry import query, sql_units
 from strandline.sources import scratch_path, table, write_partitioned
 
@@ -103,10 +103,9 @@ def top_k(spark: SparkSession, sf: str) -> DataFrame:
         row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders"""
 )
 def total_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Sort the whole table and number it, cut along the order so that no task sorts everything."""
+    """Number the whole table in order, cut along the order so that no task sorts everything."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    placed = row_numbers(orders, [], ["o_orderdate", "o_orderkey"], "place")
-    return placed.orderBy("o_orderdate", "o_orderkey")
+    return numbered_in_order(orders, ["o_orderdate", "o_orderkey"], "place")
 
 
 def _busy(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -172,3 +172,19 @@ def test_sketch_finds_every_hot_group(spark, split_groups, monkeypatch):
     sizes = {r["k"]: r["count"] for r in near.groupBy("k").count().collect()}
     hot = {r["__group"]["k"]: r["pieces"] for r in hot_groups(near, ["k"]).collect()}
     assert hot == {k: -(-n // 7500) for k, n in sizes.items() if n > 7500} and len(hot) == 3
+
+
+def test_numbers_in_order(spark):
+    """Ties, nulls, NaN and rows that are all alike get each number once, in order."""
+    values = [None, float("nan"), -1.5, 0.0, 2.0, 2.0] * 50 + [7.0] * 2000
+    rows = spark.createDataFrame([(v, n % 3) for n, v in enumerate(values)], "v double, w int").repartition(7)
+    found = sorted((r["place"], r["v"], r["w"]) for r in windows.numbered_in_order(rows, ["v", "w"], "place").collect())
+    assert [p for p, _, _ in found] == list(range(1, len(values) + 1))
+
+    def key(v):
+        return (0, 0) if v is None else (2, 0) if v != v else (1, v)
+
+    assert [(key(v), w) for _, v, w in found] == sorted((key(v), n % 3) for n, v in enumerate(values))
+    alike = spark.range(3000).select(F.lit(1).alias("v")).repartition(5)
+    assert sorted(r["place"] for r in windows.numbered_in_order(alike, ["v"], "place").collect()) == list(range(1, 3001))
+    assert windows.numbered_in_order(rows.limit(0), ["v"], "place").collect() == []
