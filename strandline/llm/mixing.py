@@ -150,7 +150,8 @@ def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     """The rows of ``docs``, all columns, as often as ``fair_queue`` takes them.
 
     A document taken twice is there twice. Rows alike in key, source and text share what they are given
-    as evenly as can be.
+    as evenly as can be. Nulls and ties count as in ``fair_queue``: a null text has no words and is not taken, null sources are one
+    source. Columns may have any names; an empty table gives an empty result.
     """
     print_ = F.struct(F.col(key).alias("k"), F.col(source).alias("s"), F.xxhash64(F.col(text)).alias("h"))
     labeled = docs.select(print_.alias("print"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))

@@ -281,7 +281,8 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     number times 2**32 plus its own number there. A sequence that is not filled is to be padded to
     ``CAPACITY``; about one a group is far from full.
 
-    Empty texts take one id each. Repeated rows are packed each. An empty table gives an empty result.
+    Empty and null texts take one id each. A very long text is tokenized in bounded slices and cut into pieces. Repeated rows are packed each.
+    Columns but ``key`` and ``text`` are not read. An empty table gives an empty result.
     """
     known = docs.select(F.col(text).alias("body")).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
     groups = max(1, math.ceil((known[0] + known[1] / (3 * CAPACITY)) / GROUP_PIECES))

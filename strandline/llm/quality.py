@@ -282,8 +282,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, k
 def score(docs: DataFrame, model: AttentionModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``score`` (0 to 1, higher: better) of every row, from its whole text.
 
-    Only the text is an input. A null or empty text is one passage of zeros. Rows stay where they are;
-    repeated rows get equal scores; an empty table gives an empty result; other columns are not read.
+    Only the text is an input. A null or empty text is one passage of zeros. A very long text is taken in slices, with the result of the
+    whole. Rows stay where they are; repeated rows get equal scores; an empty table gives an empty result; other columns are not read.
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: SubwordModel, key: str = "doc_id", text: str =
     """``key`` and ``score`` (0 to 1, higher: more likely toxic) of every row, from its whole text.
 
     Only the text is an input. A null or empty text gets the score of the bias alone. Rows stay where
-    they are; repeated rows get equal scores; an empty table gives an empty result; other columns are
+    they are; repeated rows get equal scores; a very long text is taken in bounded slices; an empty table gives an empty result; other columns are
     not read.
     """
     grams, bias = model.gram_scores(), float(model.bias[1] - model.bias[0])
@@ -217,7 +217,11 @@ def score(docs: DataFrame, model: SubwordModel, key: str = "doc_id", text: str =
 
 
 def clean(docs: DataFrame, model: SubwordModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score below ``threshold``."""
+    """The rows of ``docs``, all columns, that score below ``threshold``.
+
+    Texts are judged whole, in bounded slices; a null text like an empty one. Rows stay where they are, repeated rows stay or go together, columns
+    may have any names, and an empty table gives an empty result.
+    """
     grams, bias = model.gram_scores(), float(model.bias[1] - model.bias[0])
     place = docs.columns.index(text)
 
