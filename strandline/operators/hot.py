@@ -24,6 +24,11 @@ GROUP = "__group"
 LEAST_TRACKED, MOST_TRACKED = 10_000, 1_000_000
 TRACKED_PER_SHARE = 16
 SKETCH_ERROR = 4.7
+# A group is not hot below one of so many shares of all rows, which bounds the list of hot groups and lets a sketch
+# of the largest size tell them.
+MOST_SHARES = 100_000
+# The sketches of so many tasks are merged first, then those of all such sets: no task merges more up to a million tasks.
+MERGED = 1000
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -37,7 +42,7 @@ def hot_rows(df: DataFrame) -> int:
 def hot_floor(df: DataFrame, total: int) -> int:
     """The number of rows above which a group of a table of ``total`` rows is hot."""
     most = int(df.sparkSession.conf.get(HOT_ROWS_MOST_CONF, str(HOT_ROWS_MOST_DEFAULT)))
-    return max(hot_rows(df), min(most, math.ceil(total / shuffle_partitions(df))))
+    return max(hot_rows(df), min(most, math.ceil(total / shuffle_partitions(df))), math.ceil(total / MOST_SHARES))
 
 
 def group_of(keys: list[str]) -> Column:
@@ -54,20 +59,18 @@ def counted_groups(df: DataFrame, keys: list[str]) -> tuple[int, DataFrame | Non
     """The number of rows, and the groups of ``df`` that outgrow an average shuffle partition, or None.
 
     A group is also hot above ``hotRowsMost`` rows. No more groups can be hot than there are shuffle partitions,
-    or than the rows have such shares, so the answer may be held by the driver and broadcast: at most
-    100,000 rows for a table of 10**12. Each row has the group as ``__group`` and, as ``pieces``, how many
+    or than the rows have such shares, and never more than ``MOST_SHARES``, so the answer may be held by the driver
+    and broadcast. Each row has the group as ``__group`` and, as ``pieces``, how many
     such shares it fills; the pieces of all groups together are at most twice the shares.
 
     One pass over the key columns counts the rows and sketches the most frequent hashes of keys, in bounded memory a
-    task and without a shuffle of the keys; the sketch is off by less than a third of a share. A second pass
+    task and without a shuffle of the keys; the sketch is off by less than half a share. A second pass
     counts the few groups that may be hot.
     """
     group, floor, tracked = group_of(keys), 0, max(LEAST_TRACKED, TRACKED_PER_SHARE * shuffle_partitions(df))
     while True:
         tracked = min(tracked, MOST_TRACKED)
-        top = F.expr(f"approx_top_k(hash, {tracked // TRACKED_PER_SHARE}, {tracked})").alias("top")
-        found = df.select(F.xxhash64(group).alias("hash")).agg(F.count(F.lit(1)).alias("rows"), top).first()
-        total = found["rows"]
+        total, top = _sketched(df.select(F.xxhash64(group).alias("hash")), tracked)
         floor = hot_floor(df, total)
         if total <= floor:
             return total, None
@@ -75,18 +78,40 @@ def counted_groups(df: DataFrame, keys: list[str]) -> tuple[int, DataFrame | Non
         if tracked >= needed:
             break
         tracked = needed
-    likely = [t["item"] for t in found["top"] if t["count"] > floor - SKETCH_ERROR * total / tracked]
+    likely = [(t["item"],) for t in top if t["count"] > floor - SKETCH_ERROR * total / tracked]
     if not likely:
         return total, None
-    sizes = df.select(group.alias(GROUP)).where(F.xxhash64(GROUP).isin(likely)).groupBy(GROUP).agg(F.count(F.lit(1)).alias("rows"))
-    pieces = F.ceil(F.col("rows") / floor).cast("int").alias("pieces")
-    largest = sizes.where(F.col("rows") > F.lit(floor)).select(GROUP, pieces)
+    likely = F.broadcast(df.sparkSession.createDataFrame(likely, "hash bigint"))
+    keyed = df.select(group.alias(GROUP), F.xxhash64(group).alias("hash"))
+    sizes = keyed.join(likely, "hash", "left_semi").groupBy(GROUP).agg(F.count(F.lit(1)).alias("rows"))
+    largest = with_pieces(sizes.where(F.col("rows") > F.lit(floor)), floor)
     found = largest.collect()
     if not found:
         return total, None
     return total, df.sparkSession.createDataFrame(found, largest.schema)
 
 
+def with_pieces(sizes: DataFrame, floor: int) -> DataFrame:
+    """The ``__group`` of each of ``sizes`` and how many pieces of ``floor`` rows its ``rows`` fill."""
+    return sizes.select(GROUP, F.ceil(F.col("rows") / floor).cast("int").alias("pieces"))
+
+
+def _sketched(hashes: DataFrame, tracked: int) -> tuple[int, list]:
+    """The number of rows and the most frequent values of ``hash``, with counts that are not too low.
+
+    Each task sends one sketch. Twice as many values are given as groups can be hot, since counts that are too
+    high may put others before them.
+    """
+    sets = hashes.select("hash", F.floor(F.spark_partition_id() / MERGED).alias("set"))
+    sketch = F.expr(f"approx_top_k_accumulate(hash, {tracked})").alias("sketch")
+    merged = sets.groupBy("set").agg(F.count(F.lit(1)).alias("rows"), sketch)
+    # Grouped, though by one value: Spark fails to merge no sketches at all, as an empty table has.
+    whole = merged.groupBy(F.lit("all")).agg(F.sum("rows").alias("rows"), F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    top = F.expr(f"approx_top_k_estimate(sketch, {2 * tracked // TRACKED_PER_SHARE})").alias("top")
+    found = whole.select("rows", top).first()
+    return (found["rows"], found["top"]) if found else (0, [])
+
+
 def hashable(kind: DataType) -> bool:
     """Whether Spark can hash a column of this type. Maps, and what holds them, it cannot."""
     if isinstance(kind, StructType):

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandline.operators.hot import GROUP, dealt, group_of, hot_groups
-from strandline.operators.scan import Wanted, find_split, ntz_micros, scan
+from strandline.operators.hot import GROUP, dealt, group_of, hot_floor, hot_groups, with_pieces
+from strandline.operators.scan import FIND, Wanted, find_split, ntz_micros, scan
+from strandline.sources import written
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner"
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot: DataFrame | None | str = FIND
 ) -> DataFrame:
-    """Inner, left, semi or anti join whose ``left`` side may have hot keys.
+    """Inner, left, semi or anti join whose ``left`` side may have hot keys; they are looked for unless given.
 
     Left rows with a hot key are dealt over as many salts as average partitions the key fills, and
     right rows with such a key are copied to each of its salts. Other rows keep salt 0 and are not
@@ -19,7 +20,8 @@ def salted_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting the left side cannot serve a {how} join")
-    hot = hot_groups(left, on)
+    if hot is FIND:
+        hot = hot_groups(left, on)
     if hot is None:
         return left.join(right, on, how)
     keys = F.broadcast(hot.select(F.col(GROUP).alias("__key"), "pieces"))
@@ -128,41 +130,63 @@ def interval_totals(
     decimals, since subtracting running floating point totals loses digits. Gives the keys, the
     left id and the sums.
 
-    Rows of a key with one time are added up first, and left rows with one time ask once, so that a time that
-    many rows share is one row of the scan. The answers are joined back with the rows of such a time dealt out.
+    Both sides are first added up to one row per key and time, so that a time that many rows share is one row of
+    the scan and asks once. The answers are joined back with the rows of such a time dealt out.
     """
-    names = list(sums)
-    at = "__left_at"
-    asked = left.select(*keys, left_id, ntz_micros(F.col(left_time)).alias(at))
-    zero = {n: F.lit(0).cast(right.select(c.alias(n)).schema[n].dataType) for n, c in sums.items()}
+    asked = left.select(*keys, left_id, ntz_micros(F.col(left_time)).alias("__at"))
     kinds = {n: right.select(c.alias(n)).schema[n].dataType for n, c in sums.items()}
-    rows = (
-        right.select(*keys, ntz_micros(F.col(right_time)).alias("__at"), *(c.alias(n) for n, c in sums.items()))
-        .groupBy(*keys, "__at")
-        .agg(*(F.sum(n).cast(kinds[n]).alias(n) for n in names))
-        .select(*keys, "__at", F.lit(1).alias("__side"), F.lit(None).cast("bigint").alias(at), *names)
-    )
-    ends = F.explode(F.array(F.lit(0), F.lit(2)))
-    probes = asked.select(*keys, at).distinct().select(*keys, at, ends.alias("__side"))
-    probes = probes.select(
-        *keys,
-        F.when(F.col("__side") == 0, F.col(at) - seconds * 1_000_000).otherwise(F.col(at)).alias("__at"),
-        "__side",
-        at,
-        *(zero[n].alias(n) for n in names),
+    given = right.select(*keys, ntz_micros(F.col(right_time)).alias("__at"), *(c.alias(n) for n, c in sums.items()), F.lit(0).alias("__asks"))
+    asks = asked.select(*keys, "__at", *(F.lit(None).cast(k).alias(n) for n, k in kinds.items()), F.lit(1).alias("__asks"))
+    return _read_off(asked, given.unionAll(asks), keys, left_id, seconds, kinds)
+
+
+def own_interval_totals(df: DataFrame, keys: list[str], id: str, time: str, seconds: int, sums: dict[str, Column]) -> DataFrame:
+    """``interval_totals`` of a table with itself."""
+    kinds = {n: df.select(c.alias(n)).schema[n].dataType for n, c in sums.items()}
+    asked = df.select(*keys, id, ntz_micros(F.col(time)).alias("__at"))
+    both = df.select(*keys, ntz_micros(F.col(time)).alias("__at"), *(c.alias(n) for n, c in sums.items()), F.lit(1).alias("__asks"))
+    return _read_off(asked, both, keys, id, seconds, kinds)
+
+
+def _read_off(asked: DataFrame, both: DataFrame, keys: list[str], left_id: str, seconds: int, kinds: dict) -> DataFrame:
+    """Sums for each row of ``asked``, out of values and asks at the times of both sides.
+
+    One row per key and time is written once; hot keys, cut points, crowded times and both ends of the intervals
+    come from that table. The upper end of an interval is the running total at its own time; the lower end is a row
+    of its own, before those of its time.
+    """
+    counted = F.sum("__asks").alias("__asks")
+    adds = (F.coalesce(F.sum(n).cast(k), F.lit(0).cast(k)).alias(n) for n, k in kinds.items())
+    times = written(both.groupBy(*keys, "__at").agg(*adds, counted), "interval-times")
+    split = find_split(times, keys, ["__at"])
+    asking = F.col("__asks") > 0
+    own = times.select(*keys, "__at", F.lit(1).alias("__side"), F.col("__at").alias("__for"), asking.alias("__asking"), *kinds)
+    lower = (F.col("__at") - seconds * 1_000_000).alias("__at")
+    ends = times.where(asking).select(
+        *keys, lower, F.lit(0).alias("__side"), F.col("__at").alias("__for"), F.lit(True).alias("__asking"), *(F.lit(0).cast(k).alias(n) for n, k in kinds.items())
     )
-    wanted = Wanted(sums={f"__{n}": F.coalesce(F.col(n), zero[n]) for n in names})
-    # Hot keys and cut points show in the rows themselves, without the two ends of each interval.
-    plain = rows.select(*keys, "__at").unionAll(asked.select(*keys, F.col(at).alias("__at")).distinct())
-    split = find_split(plain, keys, ["__at"])
-    totals = scan(rows.unionAll(probes), keys, ["__at", "__side"], wanted, split)
-    sign = F.when(F.col("__side") == 2, F.lit(1)).otherwise(F.lit(-1))
+    wanted = Wanted(sums={f"__{n}": F.col(n) for n in kinds})
+    totals = scan(own.unionAll(ends), keys, ["__at", "__side"], wanted, split)
+    sign = F.when(F.col("__side") == 1, F.lit(1)).otherwise(F.lit(-1))
     answers = (
-        totals.where(F.col("__side") != 1)
-        .groupBy(F.struct(*keys, at).alias(GROUP))
-        .agg(*(F.sum(sign * F.col(f"__{n}")).alias(n) for n in names))
+        totals.where("__asking")
+        .groupBy(F.struct(*keys, F.col("__for").alias("__at")).alias(GROUP))
+        .agg(*(F.sum(sign * F.col(f"__{n}")).alias(n) for n in kinds))
     )
-    return salted_join(asked.withColumn(GROUP, F.struct(*keys, at)), answers, [GROUP]).select(*keys, left_id, *names)
+    return salted_join(
+        asked.withColumn(GROUP, F.struct(*keys, "__at")), answers, [GROUP], hot=_crowded(times, keys)
+    ).select(*keys, left_id, *kinds)
+
+
+def _crowded(times: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The times at which more rows ask than one task should join, as ``hot_groups`` of those rows would give them."""
+    asks = times.agg(F.sum("__asks").alias("all"), F.max("__asks").alias("most")).first()
+    floor = hot_floor(times, asks["all"] or 0)
+    if (asks["most"] or 0) <= floor:
+        return None
+    sizes = times.where(F.col("__asks") > floor).select(F.struct(*keys, "__at").alias(GROUP), F.col("__asks").alias("rows"))
+    # The join is on the group as its one column.
+    return with_pieces(sizes.select(F.struct(GROUP).alias(GROUP), "rows"), floor)
 
 
 def best_per_key(

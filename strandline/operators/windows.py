@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.operators.hot import GROUP
-from strandline.operators.joins import interval_totals, salted_join
+from strandline.operators.joins import own_interval_totals, salted_join
 from strandline.operators.scan import HOT, Wanted, drop_segments, find_split, scan
 from strandline.sources import written
 
@@ -145,4 +145,4 @@ def moving_range_sums(
     frame anew, so its work grows with rows times frame; here the sums are read off running totals
     at both ends of the frame.
     """
-    return interval_totals(df, df, keys, id, time, time, seconds, sums)
+    return own_interval_totals(df, keys, id, time, seconds, sums)

@@ -174,6 +174,36 @@ def test_sketch_finds_every_hot_group(spark, split_groups, monkeypatch):
     assert hot == {k: -(-n // 7500) for k, n in sizes.items() if n > 7500} and len(hot) == 3
 
 
+def test_sketches_are_merged_by_sets_of_tasks(spark, split_groups, monkeypatch):
+    """No task merges the sketches of all others, an empty table has none, and far more keys than are tracked lose no hot one."""
+    from strandline.operators import hot
+
+    monkeypatch.setattr(hot, "MERGED", 4)
+    rows = spark.range(0, 40_000, 1, 32).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    total, found = hot.counted_groups(rows, ["k"])
+    assert total == 40_000 and [(r["__group"]["k"], r["pieces"]) for r in found.collect()] == [(-1, 3)]
+    sets = rows.select("k", F.floor(F.spark_partition_id() / hot.MERGED).alias("set")).groupBy("set").count()
+    assert sets.count() == 8
+    assert hot.counted_groups(rows.limit(0), ["k"]) == (0, None)
+
+
+def test_hot_groups_just_under_many_others_are_not_cut_off(spark, split_groups, monkeypatch):
+    """Counts too high by as much as the sketch allows may come before those of hot groups; all are counted exactly."""
+    from strandline.operators import hot
+
+    groups = {r["__group"]["k"] for r in hot_groups(spark.range(70_000).select((F.col("id") % 7).alias("k")), ["k"]).collect()}
+    assert groups == set(range(7))
+    monkeypatch.setattr(hot, "MOST_SHARES", 4)
+    assert hot_groups(spark.range(70_000).select((F.col("id") % 7).alias("k")), ["k"]) is None
+
+
+def test_null_times_are_peers(spark, split_groups):
+    """As in a RANGE window, rows without a time are summed among themselves."""
+    rows = spark.sql("SELECT id, id % 2 AS k, CASE WHEN id % 3 > 0 THEN timestamp_ntz'2024-01-01 00:00:00' END AS ts FROM range(600)")
+    got = windows.moving_range_sums(rows, ["k"], "ts", "id", 60, {"n": F.lit(1).cast("bigint")})
+    assert {(r["id"] % 3 > 0, r["n"]) for r in got.collect()} == {(True, 200), (False, 100)} and got.count() == 600
+
+
 def test_numbers_in_order(spark):
     """Ties, nulls, NaN and rows that are all alike get each number once, in order."""
     values = [None, float("nan"), -1.5, 0.0, 2.0, 2.0] * 50 + [7.0] * 2000
