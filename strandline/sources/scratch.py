@@ -44,7 +44,7 @@ def clear_scratch(spark: SparkSession) -> None:
     """Delete all this library keeps under the session's scratch folder.
 
     For when no result that reads from there is needed any more: results of recursion, streams and split
-    plans do.
+    plans do. It needs a classic session; with Spark Connect, give the folder a lifetime rule.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(_base(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

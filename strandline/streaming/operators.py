@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -70,18 +72,28 @@ def partial_sums(stream: DataFrame, keys: list[str], sums: dict[str, Column]) ->
     """Sums per key of each Arrow batch of a stream of files, without state.
 
     Written to files, they add up to the totals since the start, whatever the number of keys; each run of the stream
-    reads new files only. Sums are over whole numbers and null where all values are.
+    reads new files only. Sums are over whole numbers and null where all values are. A batch whose sums might not fit
+    a bigint is an error: one of 10,000 rows with a value of 2**49 or more.
     """
     narrow, names = stream.select(*keys, *(c.cast("long").alias(n) for n, c in sums.items())), list(sums)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for name in names:
+                fits_bigint(batch.column(name))
             added = pa.Table.from_batches([batch]).group_by(keys).aggregate([(n, "sum") for n in names])
             yield from added.select([*keys, *(f"{n}_sum" for n in names)]).rename_columns([*keys, *names]).to_batches()
 
     return narrow.mapInArrow(add_up, narrow.schema)
 
 
+def fits_bigint(values: pa.Array) -> None:
+    """Raise an error where sums over whole numbers might wrap."""
+    ends = pc.min_max(values).as_py()
+    if max(abs(v or 0) for v in ends.values()) * len(values) >= 2**63:
+        raise OverflowError("a sum might not fit a bigint")
+
+
 Rule = Callable[[tuple | None, pd.DataFrame], tuple[list[tuple], tuple | None]]
 
 
@@ -129,23 +141,42 @@ def keyed_state(
 STREAK = "first_us long, last_us long, n long, cents long"
 
 
+def ended_streaks(state: tuple | None, us: np.ndarray, broken: np.ndarray, cents: np.ndarray, gap: int) -> tuple[list[tuple], tuple | None]:
+    """The streaks that rows in order bring to an end, and the one still open; ``state`` is the one open before.
+
+    The open one stands before the rows as one more row. A streak begins at a row that is not broken and follows a broken
+    one or a gap; broken rows up to the next beginning add nothing to it.
+    """
+    fits_bigint(pa.array(cents))
+    first, n = us, np.ones(len(us), np.int64)
+    if state is not None:
+        fits_bigint(pa.array([state[3], int(np.abs(cents).sum())]))
+        first, us, n, cents = (np.concatenate([[s], a]) for s, a in zip(state, (first, us, n, cents)))
+        broken = np.concatenate([[False], broken])
+    begins = ~broken
+    begins[1:] &= broken[:-1] | (np.diff(us) > gap)
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return [], None
+    rows = np.add.reduceat((~broken).astype(np.int64), starts)
+    sums = (np.add.reduceat(np.where(broken, 0, a), starts) for a in (n, cents))
+    found = list(zip(*(a.tolist() for a in (first[starts], us[starts + rows - 1], *sums))))
+    return (found, None) if broken[-1] else (found[:-1], found[-1])
+
+
 def streaks(stream: DataFrame, key: str, time: str, id: str, gap_seconds: int) -> DataFrame:
     """Runs of a key's rows that are not ``broken``, in time order, with no gap over ``gap_seconds`` between neighbours.
 
     A streak is put out when a broken row, a gap or the watermark ends it: ``first_us`` and ``last_us`` (microseconds
-    since 1970), ``n`` and the sum of ``cents``.
+    since 1970), ``n`` and the sum of ``cents``. A null ``broken`` is false, a null in ``cents`` adds nothing; sums that might not fit a
+    bigint are an error.
     """
     gap = gap_seconds * 1_000_000
 
     def rule(state: tuple | None, rows: pd.DataFrame) -> tuple[list[tuple], tuple | None]:
-        ended = []
-        for us, broken, cents in zip(rows["__us"].tolist(), rows["broken"].tolist(), rows["cents"].tolist()):
-            if state is not None and (broken or us - state[1] > gap):
-                ended.append(state)
-                state = None
-            if not broken:
-                state = (us, us, 1, cents) if state is None else (state[0], us, state[2] + 1, state[3] + cents)
-        return ended, state
-
-    rows = stream.withColumn("__us", F.unix_micros(time))
+        us, broken, cents = (rows[c].to_numpy() for c in ("__us", "broken", "cents"))
+        return ended_streaks(state, us, broken, cents, gap)
+
+    whole = {"broken": F.coalesce("broken", F.lit(False)), "cents": F.coalesce("cents", F.lit(0).cast("bigint"))}
+    rows = stream.withColumns({"__us": F.unix_micros(time), **whole})
     return keyed_state(rows, [key], time, ["__us", id], rule, lambda state: [state], STREAK, STREAK, gap_seconds * 1000)

@@ -3,6 +3,8 @@
 import datetime
 import os
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,41 @@ def test_state_outlives_a_restart_and_silence_ends_it(spark):
     assert len(found) == 3
 
 
+def test_streaks_of_whole_batches_are_those_of_single_rows():
+    """Rows are handed over in batches of any size, with gaps, breaks, rows that come late and ties."""
+    rng = np.random.default_rng(3)
+    for trial in range(300):
+        rows = rng.integers(1, 40)
+        us = np.cumsum(rng.integers(-2, 12, rows))
+        broken, cents = rng.random(rows) < rng.choice([0, 0.2, 0.9]), rng.integers(-50, 50, rows)
+        ended, open_ = [], None
+        for u, b, c in zip(us.tolist(), broken.tolist(), cents.tolist()):
+            if open_ is not None and (b or u - open_[1] > 8):
+                ended.append(open_)
+                open_ = None
+            if not b:
+                open_ = (u, u, 1, c) if open_ is None else (open_[0], u, open_[2] + 1, open_[3] + c)
+        found, state, at = [], None, 0
+        while at < rows:
+            to = at + int(rng.integers(1, 15))
+            some, state = operators.ended_streaks(state, us[at:to], broken[at:to], cents[at:to], 8)
+            found += some
+            at = to
+        assert (found, state) == (ended, open_)
+
+
+def test_sums_that_might_wrap_are_an_error():
+    one = np.array([1]), np.array([False])
+    for state, cents in [(None, [2**62, 2**62]), ((0, 0, 1, 2**63 - 2), [2**40])]:
+        k = len(cents)
+        with pytest.raises(OverflowError):
+            operators.ended_streaks(state, np.repeat(one[0], k), np.repeat(one[1], k), np.array(cents), 8)
+    operators.fits_bigint(pa.array([], pa.int64()))
+    operators.fits_bigint(pa.array([None, 2**61], pa.int64()))
+    with pytest.raises(OverflowError):
+        operators.fits_bigint(pa.array([-(2**62), 0], pa.int64()))
+
+
 def test_copies_in_a_later_batch_are_dropped(spark):
     """The copies come in files of their own, so what was let through is found in state."""
     events = table(spark, SF_DIR, "events").select("event_id", "ts").where("event_id < 200")
