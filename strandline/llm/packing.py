@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import unicodedata
@@ -35,6 +36,57 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+# How a tokenizer file must treat texts for its ids to be those of single units.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_units(path: str) -> bool:
+    """Whether ``UnitIds`` gives the ids of this tokenizer file."""
+    with open(path, encoding="utf-8") as file:
+        known = json.load(file)
+    model = known["model"]
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    bounded = all(
+        a["content"].startswith("<|") and a["content"].endswith("|>") and not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"])
+        for a in known["added_tokens"]
+    )
+    ended = model["type"] == "BPE" and bool(model.get("end_of_word_suffix"))
+    return known["normalizer"] == NORMALIZER and known["pre_tokenizer"] == PRE_TOKENIZER and plain and bounded and ended
+
+
+class WholeIds:
+    """The ids of texts, each handed to the tokenizer whole: right for any tokenizer file."""
+
+    sliced = False
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def of_texts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of consecutive texts in a row, and how many each text has."""
+        texts = [data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist())]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
+
+
 class UnitIds:
     """The ids of texts, by the tokenizer, looked up unit by unit.
 
@@ -42,12 +94,16 @@ class UnitIds:
     text is cut there first, and its ids are those of its units in a row. A worker remembers units while
     there is room. New units are encoded many at a time. Those of lower-case letters only need just the
     tokenizer's model; others get the whole tokenizer, a mark between them; those that are long, hold the
-    mark or look like a special token are encoded on their own.
+    mark or look like a special token are encoded on their own. That holds for tokenizer files of which ``by_units`` says so.
     """
 
+    sliced = True
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = self.tokenizer.model.end_of_word_suffix
@@ -144,24 +200,24 @@ class UnitIds:
         return ids, np.diff(tokens[np.searchsorted(at, np.append(starts, ends[-1]) - starts[0])])
 
 
-_KNOWN: dict[str, UnitIds] = {}
+_KNOWN: dict[str, UnitIds | WholeIds] = {}
 
 
-def _units(path: str) -> UnitIds:
+def _units(path: str) -> UnitIds | WholeIds:
     """A worker's tokenizer, kept between batches."""
     if path not in _KNOWN:
-        _KNOWN[path] = UnitIds(path)
+        _KNOWN[path] = (UnitIds if by_units(path) else WholeIds)(path)
     return _KNOWN[path]
 
 
-def encoded(units: UnitIds, column: pa.Array) -> Iterator[tuple[int, np.ndarray, int]]:
+def encoded(units: UnitIds | WholeIds, column: pa.Array) -> Iterator[tuple[int, np.ndarray, int]]:
     """For each text of a column: its number, ids of it in order with ``END`` last, and its number of ids.
 
-    A very long text is encoded in slices cut at white space.
+    A very long text is encoded in slices cut at white space, where the tokenizer's ids do not depend on that.
     """
     data, starts, ends = raw(column)
     for first, last in runs(starts, ends, SLICE):
-        if last == first + 1 and ends[first] - starts[first] > SLICE:
+        if units.sliced and last == first + 1 and ends[first] - starts[first] > SLICE:
             parts = [units.of_texts(data, np.array([a]), np.array([b]))[0] for a, b in _cuts(data, int(starts[first]), int(ends[first]))]
             yield first, np.concatenate([*parts, [np.uint32(END)]])
             continue
@@ -188,7 +244,7 @@ def _cuts(data: np.ndarray, start: int, end: int) -> Iterator[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Every document as ids, cut into pieces of at most ``CAPACITY``.
 
-    A document is its text's ids by the tokenizer file and then ``END``; a null text has only that. Each
+    A document is its text's ids by the tokenizer file, whichever it is, and then ``END``; a null text has only that. Each
     id lies in one piece; all pieces but a document's last are full. Returns ``key``, ``start`` (ids
     before it), ``length``, ``ids_crc32`` (of the ids as little-endian unsigned 32-bit numbers),
     ``doc_tokens`` and, with ``with_ids``, the ids themselves as such bytes. Rows stay where they are.
