@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandline.llm.common import piece_of, pieces_for, shuffle_key, stash, word_count
+from strandline.llm.common import piece_of, pieces_for, shuffled, stash, word_count
 
 MOST_REPEATS = 3
 
@@ -59,7 +59,7 @@ def fair_queue(
     column is read. A source's words miss its target by about one document.
 
     The order within sources is cut into pieces by the hash, so a source with a third of all rows is
-    spread; words are summed per piece, then over pieces. The sorted order is cut into equal stretches
+    spread, and so is a key, null ones too; words are summed per piece, then over pieces. The sorted order is cut into equal stretches
     of virtual time; their sums tell in which stretch the budget ends, and only that one is sorted. The
     rows, without texts, are written to the shared scratch folder once. Per-source tables have a row a
     source and are put in order by one task.
@@ -72,12 +72,10 @@ def fair_queue(
         F.col(key).alias("key"),
         F.col(source).isNull().alias("none"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
-        shuffle_key(seed, F.col(key)).alias("order"),
         size.cast("bigint").alias("size"),
         F.struct(F.lit(0).alias("_"), *keep).alias("kept"),
     )
-    given = stash(given, "mix")
-    rows = given.count()
+    rows, given = shuffled(given, seed, "mix")
     pieces = pieces_for(rows)
     given = given.withColumn("piece", piece_of(F.col("order"), pieces))
 

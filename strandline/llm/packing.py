@@ -333,7 +333,7 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """``pieces`` with the ``sequence_id`` and ``offset`` of each.
 
     Pieces are dealt by a hash to groups of about ``GROUP_PIECES``, each packed by one task, so groups
-    stay small whatever the table's size. A sequence lies in one group; its id is the group's
+    stay small whatever the table's size; the partition is hashed too, so that repeated rows are spread. A sequence lies in one group; its id is the group's
     number times 2**32 plus its own number there. A sequence that is not filled is to be padded to
     ``CAPACITY``; about one a group is far from full.
 
@@ -343,7 +343,7 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     known = docs.select(F.col(text).alias("body")).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
     groups = max(1, math.ceil((known[0] + known[1] / (3 * CAPACITY)) / GROUP_PIECES))
     cut = pieces(docs, tokenizer, key, text, with_ids)
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64(key, "start", "ids_crc32"), F.lit(groups)))
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64(key, "start", "ids_crc32", F.spark_partition_id()), F.lit(groups)))
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by([(key, "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandline.llm.common import piece_of, pieces_for, shuffle_key, stash
+from strandline.llm.common import piece_of, pieces_for, shuffled, stash
 
 
 def interleave(
@@ -21,21 +21,22 @@ def interleave(
 
     Both orders are cut into pieces of bounded size: rows are counted per piece, the counts are summed
     over pieces and only the rows inside a piece are sorted by one task. A source with a third of the
-    rows is spread like the rest. The ranked rows are written to the shared scratch folder once.
+    rows is spread like the rest, and so is a key with as many, null ones too. The rows and then the ranked rows are
+    written to the shared scratch folder.
 
     A null source is a source of its own, sorted last. Null keys count as empty text. Rows with the
     same key and source are ordered by the kept columns; rows alike in all of those get neighbouring
     places in an order that does not matter. An empty table gives an empty result.
     """
-    rows = docs.count()
-    pieces = pieces_for(rows)
     given = docs.select(
         F.col(key).alias("key"),
         F.col(source).isNull().alias("none"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
-        shuffle_key(seed, F.col(key)).alias("order"),
         F.struct(F.lit(0).alias("_"), *keep).alias("kept"),
-    ).withColumn("piece", piece_of(F.col("order"), pieces))
+    )
+    rows, given = shuffled(given, seed, "interleave-given")
+    pieces = pieces_for(rows)
+    given = given.withColumn("piece", piece_of(F.col("order"), pieces))
 
     stratum = ["none", "source"]
     counts = given.groupBy(*stratum, "piece").agg(F.count(F.lit(1)).alias("n"))
