@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +18,7 @@ BITS = 64
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
+HASHES = 65_536  # hashes of one text held at once
 PART = 1024  # fingerprints of one bucket that are compared with one another at once
 ENTRIES = 1 << 17  # comparisons of a fingerprint with 64 others held at once
 FULL = 256  # a bucket should hold no more fingerprints than this on average: four lanes
@@ -40,11 +41,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     many = max(1, len(words) - shingle + 1)
     stops = (starts + sizes)[-many:].tolist()
     starts = starts[:many].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for at in range(0, many, 65_536):
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts[at : at + 65_536], stops[at : at + 65_536])]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    digest = xxhash.xxh64_intdigest
+    return majority(
+        np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : at + HASHES], stops[at : at + HASHES])], np.uint64)
+        for at in range(0, many, HASHES)
+    )
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of all hashes in ``parts`` have."""
+    counts, many = np.zeros(BITS, np.int64), 0
+    for hashes in parts:
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(0, dtype=np.int64)
+        many += len(hashes)
     return int(np.packbits(2 * counts > many, bitorder="little").view("<u8")[0])
 
 
@@ -148,12 +158,22 @@ def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (``a``, ``b``) that join the same fingerprints as all pairs within ``radius`` do.
+    """Links (``a``, ``b``) that join the same fingerprints as all pairs within ``radius`` do."""
+    return _bucketed(prints, radius, _spanning)
+
+
+def neighbours(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """For each fingerprint, ``a``, some that are within ``radius`` of it, ``b``: the smallest of each bucket, if it is not the smallest itself."""
+    return _bucketed(prints, radius, _smallest)
+
+
+def _bucketed(prints: DataFrame, radius: int, found: Callable[[pa.RecordBatch, list[str], int], pa.RecordBatch]) -> DataFrame:
+    """What ``found`` gives for the buckets of fingerprints that may be within ``radius``.
 
     ``prints`` has distinct fingerprints, ``print``. Each goes to a bucket for every mask. A bucket with more
     than ``PART`` is dealt into parts, and every two parts meet in a group of their own, so no task
-    holds more than two parts of it at once and no pair is missed. Each group gives its spanning
-    links only, fewer than it has fingerprints.
+    holds more than two parts of it at once and no pair is missed. Each group gives fewer links than it has
+    fingerprints.
     """
     masks = bucket_masks(prints.count(), radius)
     keys = F.array(*(F.struct(F.lit(n).alias("mask"), F.col("print").bitwiseAND(F.lit(_signed(m))).alias("bits")) for n, m in enumerate(masks)))
@@ -172,9 +192,9 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         for part in batches:
             rest, ready = _whole_groups(part if rest is None else pa.concat_batches([rest, part]), group)
             if ready.num_rows:
-                yield _spanning(ready, group, radius)
+                yield found(ready, group, radius)
         if rest is not None and rest.num_rows:
-            yield _spanning(rest, group, radius)
+            yield found(rest, group, radius)
 
     sorted_ = met.repartition(*group).sortWithinPartitions(*group)
     return sorted_.mapInArrow(compared, "a long, b long").distinct()
@@ -213,6 +233,16 @@ def _spanning(batch: pa.RecordBatch, group: list[str], radius: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(signed[child]), pa.array(signed[found[child]])], ["a", "b"])
 
 
+def _smallest(batch: pa.RecordBatch, group: list[str], radius: int) -> pa.RecordBatch:
+    prints = batch.column("print").to_numpy()
+    least = prints.copy()
+    for a, b in close(prints.view(np.uint64), np.cumsum(_edges(batch, group)), batch.column("side").to_numpy(), radius):
+        np.minimum.at(least, a, prints[b])
+        np.minimum.at(least, b, prints[a])
+    near = np.flatnonzero(least != prints)
+    return pa.RecordBatch.from_arrays([pa.array(prints[near]), pa.array(least[near])], ["a", "b"])
+
+
 def near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The fingerprint of every row and the group of rows it belongs to.
 
