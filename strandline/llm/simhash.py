@@ -21,6 +21,7 @@ SEED = 42
 HASHES = 65_536  # hashes of one text held at once
 PART = 1024  # fingerprints of one bucket that are compared with one another at once
 ENTRIES = 1 << 17  # comparisons of a fingerprint with 64 others held at once
+TASK = 250_000  # rows that a task sorts
 FULL = 256  # a bucket should hold no more fingerprints than this on average: four lanes
 
 _ALL = np.uint64(2**64 - 1)
@@ -164,18 +165,19 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def neighbours(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """For each fingerprint, ``a``, some that are within ``radius`` of it, ``b``: the smallest of each bucket, if it is not the smallest itself."""
-    return _bucketed(prints, radius, _smallest)
+    return _bucketed(prints, radius, _smallest, TASK)
 
 
-def _bucketed(prints: DataFrame, radius: int, found: Callable[[pa.RecordBatch, list[str], int], pa.RecordBatch]) -> DataFrame:
+def _bucketed(prints: DataFrame, radius: int, found: Callable[[pa.RecordBatch, list[str], int], pa.RecordBatch], task: int | None = None) -> DataFrame:
     """What ``found`` gives for the buckets of fingerprints that may be within ``radius``.
 
     ``prints`` has distinct fingerprints, ``print``. Each goes to a bucket for every mask. A bucket with more
     than ``PART`` is dealt into parts, and every two parts meet in a group of their own, so no task
     holds more than two parts of it at once and no pair is missed. Each group gives fewer links than it has
-    fingerprints.
+    fingerprints. With many masks a task may be told how many rows to sort, so that its memory does not grow with the table.
     """
-    masks = bucket_masks(prints.count(), radius)
+    count = prints.count()
+    masks = bucket_masks(count, radius)
     keys = F.array(*(F.struct(F.lit(n).alias("mask"), F.col("print").bitwiseAND(F.lit(_signed(m))).alias("bits")) for n, m in enumerate(masks)))
     dealt = prints.select("print", F.explode(keys).alias("at")).select("print", "at.mask", "at.bits")
     sizes = dealt.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
@@ -196,7 +198,8 @@ def _bucketed(prints: DataFrame, radius: int, found: Callable[[pa.RecordBatch, l
         if rest is not None and rest.num_rows:
             yield found(rest, group, radius)
 
-    sorted_ = met.repartition(*group).sortWithinPartitions(*group)
+    spread = met.repartition(max(1, -(-count * len(masks) // task)), *group) if task else met.repartition(*group)
+    sorted_ = spread.sortWithinPartitions(*group)
     return sorted_.mapInArrow(compared, "a long, b long").distinct()
 
 
