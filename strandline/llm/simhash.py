@@ -160,19 +160,23 @@ def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (``a``, ``b``) that join the same fingerprints as all pairs within ``radius`` do."""
-    return _bucketed(prints, radius, _spanning)
+    return _bucketed(prints, radius, _spanning).distinct()
 
 
 def neighbours(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """For each fingerprint, ``a``, some that are within ``radius`` of it, ``b``: the smallest of each bucket, if it is not the smallest itself."""
-    return _bucketed(prints, radius, _smallest, TASK)
+    """For each fingerprint, ``a``, some that are within ``radius`` of it, ``b``: the smallest of each bucket, if it is not the smallest itself.
+
+    A bucket with more than ``PART`` is dealt into parts, and only those of a part meet, so work is in proportion to the
+    fingerprints however many are close. A caller that needs all pairs finds the others in another way.
+    """
+    return _bucketed(prints, radius, _smallest, False, TASK).distinct()
 
 
-def _bucketed(prints: DataFrame, radius: int, found: Callable[[pa.RecordBatch, list[str], int], pa.RecordBatch], task: int | None = None) -> DataFrame:
+def _bucketed(prints: DataFrame, radius: int, found: Callable[[pa.RecordBatch, list[str], int], pa.RecordBatch], across: bool = True, task: int | None = None) -> DataFrame:
     """What ``found`` gives for the buckets of fingerprints that may be within ``radius``.
 
     ``prints`` has distinct fingerprints, ``print``. Each goes to a bucket for every mask. A bucket with more
-    than ``PART`` is dealt into parts, and every two parts meet in a group of their own, so no task
+    than ``PART`` is dealt into parts, and, if ``across``, every two parts meet in a group of their own, so no task
     holds more than two parts of it at once and no pair is missed. Each group gives fewer links than it has
     fingerprints. With many masks a task may be told how many rows to sort, so that its memory does not grow with the table.
     """
@@ -184,7 +188,8 @@ def _bucketed(prints: DataFrame, radius: int, found: Callable[[pa.RecordBatch, l
     parts = stash(sizes.select("mask", "bits", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "large-buckets")
     whole = dealt.join(parts, ["mask", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("print"), F.col("parts")).cast("int")
-    met = whole.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = whole.withColumn("part", part)
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if across else F.col("part"))
     side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
     met = met.select("mask", "bits", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), side.cast("byte").alias("side"), "print")
     group = ["mask", "bits", "low", "high"]
@@ -200,7 +205,7 @@ def _bucketed(prints: DataFrame, radius: int, found: Callable[[pa.RecordBatch, l
 
     spread = met.repartition(max(1, -(-count * len(masks) // task)), *group) if task else met.repartition(*group)
     sorted_ = spread.sortWithinPartitions(*group)
-    return sorted_.mapInArrow(compared, "a long, b long").distinct()
+    return sorted_.mapInArrow(compared, "a long, b long")
 
 
 def _signed(mask: int) -> int:
